@@ -134,30 +134,27 @@ def t_test(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
 
 
 def _student_two_sided(t: float, freedom: float) -> float:
-    """P(|T| >= |t|) from the continued fraction of the incomplete beta function."""
+    """P(|T| >= |t|) as a regularised incomplete beta, by its continued fraction (Lentz)."""
     a, b, x = freedom / 2, 0.5, freedom / (freedom + t * t)
     if x >= 1:
         return 1.0
-    flip = x > (a + 1) / (a + b + 2)
-    if flip:
+    mirrored = x > (a + 1) / (a + b + 2)
+    if mirrored:
         a, b, x = b, a, 1 - x
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    value, c, d = 1.0, 1.0, 0.0
-    for i in range(2000):
-        m = i // 2
-        if i == 0:
-            step = 1.0
-        elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + step * d or 1e-300)
-        c = 1 + step / c if i else 1.0
-        value *= c * d
-        if i > 1 and abs(c * d - 1) < 1e-15:
+    scale = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    fraction = d
+    for m in range(1, 2000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d = 1 / (1 + term * d)
+            c = 1 + term / c
+            fraction *= c * d
+        if abs(c * d - 1) < 1e-15:
             break
-    area = front * value
-    return 1 - area if flip else area
+    area = math.exp(scale) * fraction / a
+    return 1 - area if mirrored else area
 
 
 def t_test_p_values(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:

@@ -21,9 +21,11 @@ def catalog_scan(
     return df.select(*columns) if columns else df
 
 
-def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
     """Replace a catalog table by the frame and return the stored table."""
     writer = df.write.mode("overwrite").format("parquet")
+    if path:
+        writer = writer.option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(name)
