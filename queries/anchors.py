@@ -198,10 +198,9 @@ def _(t):
 @query(
     "j11_nearest_prior_asof",
     f"""WITH {ACTIONS}, v AS (SELECT DISTINCT user_id, leaf_id, event_ts AS view_ts FROM actions WHERE event_type = 'view')
-      SELECT v.user_id, v.leaf_id, v.view_ts, MAX(p.event_ts) AS purchase_ts,
-        CAST(date_diff('day', CAST(MAX(p.event_ts) AS DATE), CAST(v.view_ts AS DATE)) AS INTEGER) AS days_diff
-      FROM v JOIN actions p ON p.user_id = v.user_id AND p.leaf_id = v.leaf_id AND p.event_type = 'purchase' AND CAST(p.event_ts AS DATE) < CAST(v.view_ts AS DATE)
-      GROUP BY ALL""",
+      SELECT *, CAST(date_diff('day', CAST(purchase_ts AS DATE), CAST(view_ts AS DATE)) AS INTEGER) AS days_diff
+      FROM (SELECT v.user_id, v.leaf_id, v.view_ts, MAX(p.event_ts) AS purchase_ts FROM v JOIN actions p ON p.user_id = v.user_id AND p.leaf_id = v.leaf_id AND p.event_type = 'purchase' AND CAST(p.event_ts AS DATE) < CAST(v.view_ts AS DATE)
+      GROUP BY ALL)""",
 )
 def _(t):
     return asof.nearest_prior_purchase(t.purchases(), t.views(), LEAF)

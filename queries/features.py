@@ -144,7 +144,7 @@ WEIGHTED = dict(zip((1, 2, 7, 14), (0.4, 0.3, 0.2, 0.1)))
     "g6_weighted_count",
     levels_sql(
         "SELECT user_id, category_id, event_ts, level, "
-        + " + ".join(f"{w} * f_num_views_from_in_last_{n}_days" for n, w in WEIGHTED.items())
+        + " + ".join(f"{w}::DOUBLE * f_num_views_from_in_last_{n}_days" for n, w in WEIGHTED.items())
         + f" AS f_weighted_num_views_from FROM ({_counts_sql(tuple(WEIGHTED), ('view',))})",
         WITH_REF,
         ["f_weighted_num_views_from"],
@@ -426,8 +426,8 @@ OFFLINE = dict(zip((2, 5, 7, 14), (0.1, 0.25, 0.3, 0.35)))
     "g16_weighted_count_offline",
     sql_rounded(
         f"""{WITH_REF}, x AS ({LABELLED}) SELECT user_id, category_id AS mid_id, event_ts, label,
-          ROUND({" + ".join(f"{w} * f_num_views_from_in_last_{n}_days" for n, w in OFFLINE.items())}, 3) AS f_weighted_views,
-          {" + ".join(f"{w} * f_num_purchases_from_in_last_{n}_days" for n, w in OFFLINE.items())} AS f_weighted_purchases FROM x""",
+          ROUND({" + ".join(f"{w}::DOUBLE * f_num_views_from_in_last_{n}_days" for n, w in OFFLINE.items())}, 3) AS f_weighted_views,
+          {" + ".join(f"{w}::DOUBLE * f_num_purchases_from_in_last_{n}_days" for n, w in OFFLINE.items())} AS f_weighted_purchases FROM x""",
         ["f_weighted_views", "f_weighted_purchases"],
     ),
 )
