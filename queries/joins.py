@@ -11,7 +11,7 @@ from rekindle.operators import activity as act
 from rekindle.operators import joins as jn
 from rekindle.operators.attributes import item_attributes
 from rekindle.operators.labels import label_reinterest
-from rekindle.plans.features import FeatureGrid, counts_only, feature_matrix, registry
+from rekindle.plans.features import FeatureGrid, counts_only, feature_matrix
 from rekindle.plans.training import prepare
 from rekindle.sources.supplied import Supplied
 
@@ -59,11 +59,6 @@ def _(t):
     return feature_matrix(ref_anchors(t), t.actions(), counts_only(WINDOWS, ("purchase", "view")), ref_date=REF)
 
 
-@query("feature_registry", f"SELECT CAST(COUNT(*) AS BIGINT) AS users, {len(registry(MONTH_GRID))} AS columns FROM (SELECT DISTINCT user_id FROM events)")
-def _(t):
-    return t.table("events").select("user_id").distinct().agg(F.count(F.lit(1)).alias("users")).withColumn("columns", F.lit(len(registry(MONTH_GRID))))
-
-
 COHORT = f"cohort AS (SELECT user_id FROM actions WHERE event_type = 'purchase' AND event_ts < TIMESTAMP '{REF}')"
 
 
@@ -140,10 +135,10 @@ def _(t):
       FROM (SELECT DISTINCT user_id, event_ts FROM anchors) a LEFT JOIN actions e ON e.user_id = a.user_id AND e.event_type = 'view' AND {AGE} >= 1 GROUP BY ALL""",
 )
 def _(t):
-    anchors = click_anchors(t)
-    totals = act.user_totals(anchors, t.actions(), "view", (7, 14))
-    found = jn.attach(act.anchor_keys(anchors, None), totals, None, {"_total_7": 0, "_total_14": 0})
-    return found.drop("anchor_day").withColumnsRenamed({"_total_7": "total_7", "_total_14": "total_14"})
+    anchors, wanted = click_anchors(t), {"view": (7, 14)}
+    totals = act.user_totals(anchors, t.actions(), wanted)
+    found = jn.attach(act.anchor_keys(anchors, None), totals, None, act.total_fills(wanted))
+    return found.drop("anchor_day").withColumnsRenamed({act.total_name("view", n): f"total_{n}" for n in (7, 14)})
 
 
 @query(

@@ -117,7 +117,7 @@ def _(t):
 @query("v14_explode_split", f"WITH {ACTIONS} SELECT event_id AS session_id, item_id + i AS result_item FROM actions, LATERAL (VALUES (0), (1), (2)) x(i) WHERE event_type = 'click'")
 def _(t):
     log = t.search_log()
-    return log.select("session_id", F.explode(F.split("result_items", ",")).cast("bigint").alias("result_item"))
+    return log.select("session_id", F.explode(F.split("result_items", ",").cast("array<bigint>")).alias("result_item"))
 
 
 @query("v15_nest_structs", "SELECT l_orderkey, COUNT(*) AS n, string_agg(l_partkey || 'x' || CAST(l_quantity AS INTEGER), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS lines FROM lineitem GROUP BY l_orderkey")

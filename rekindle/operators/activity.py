@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rekindle.levels import LEVELS, Level
+from rekindle.levels import ANY, LEVELS, Level, all_levels
 from rekindle.operators.joins import anchor_day, attach
 
 
@@ -174,9 +174,11 @@ def reference_date_partials(events: DataFrame, spec: ActivitySpec, ref_date: str
 
 
 def roll_up(partials: DataFrame, level: Level) -> DataFrame:
-    """Leaf totals to totals of ``level``."""
-    measures = [c for c in partials.columns if c != "user_id" and c not in {lv.id for lv in LEVELS}]
-    return partials.where(F.col(level.id).isNotNull()).groupBy("user_id", level.id).agg(*[_merge(c) for c in measures])
+    """Leaf totals to totals of ``level``; ``ANY`` gives all three levels in one shuffle."""
+    ids = {lv.id for lv in LEVELS}
+    measures = [c for c in partials.columns if c != "user_id" and c not in ids]
+    rows = all_levels(partials) if level == ANY else partials.where(F.col(level.id).isNotNull())
+    return rows.groupBy("user_id", *level.keys).agg(*[_merge(c) for c in measures])
 
 
 def daily(events: DataFrame, spec: ActivitySpec, keys: Sequence[str]) -> DataFrame:
@@ -199,9 +201,9 @@ def level_activity(
     ``repeat_anchor_rows`` counts an event once per anchor row that shares the category
     at this level, as a plain join of anchor rows with events does.
     """
-    keys = ["user_id", level.id]
+    keys = ["user_id", *level.keys]
     days = (
-        anchors.where(F.col(level.id).isNotNull())
+        (all_levels(anchors) if level == ANY else anchors.where(F.col(level.id).isNotNull()))
         .groupBy(*keys, anchor_day().alias("anchor_day"))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
@@ -210,7 +212,14 @@ def level_activity(
         totals = roll_up(reference_date_partials(events, spec, ref_date), level)
         joined = days.where(F.col("anchor_day") == F.lit(ref_date).cast("date")).join(totals, keys)
         return _finish(joined, spec, level, [*keys, "anchor_day"], repeat)
-    per_day = daily(events.where(F.col(level.id).isNotNull()), spec, keys)
+    if level == ANY:
+        ids = [lv.id for lv in LEVELS]
+        leaf_days = daily(events, spec, ["user_id", *ids])
+        per_day = all_levels(leaf_days)
+        measures = [c for c in per_day.columns if c not in (*keys, "event_day")]
+        per_day = per_day.groupBy(*keys, "event_day").agg(*[_merge(c) for c in measures])
+    else:
+        per_day = daily(events.where(F.col(level.id).isNotNull()), spec, keys)
     age = F.datediff("anchor_day", "event_day")
     near = age >= 1
     if spec.max_window is not None:
@@ -222,7 +231,7 @@ def level_activity(
 
 def anchor_keys(anchors: DataFrame, level: Level | None) -> DataFrame:
     """Distinct (user, category, event_ts) of the anchors, with their day."""
-    cols = ["user_id", *([level.id] if level else []), "event_ts"]
+    cols = ["user_id", *(level.keys if level else []), "event_ts"]
     return anchors.select(*cols).distinct().withColumn("anchor_day", anchor_day())
 
 
@@ -257,11 +266,19 @@ def amount_stats(anchors, events, level: Level, action: str, windows: Sequence[i
     return activity(anchors, events, level, ActivitySpec(amounts={action: tuple(windows)}), **kw)
 
 
+def total_name(action: str, days: int) -> str:
+    return f"_total_{action}_{days}"
+
+
 def user_totals(
-    anchors: DataFrame, events: DataFrame, action: str, windows: Sequence[int], ref_date: str | None = None, repeat_anchor_rows: bool = False
+    anchors: DataFrame,
+    events: DataFrame,
+    counts: Mapping[str, Sequence[int]],
+    ref_date: str | None = None,
+    repeat_anchor_rows: bool = False,
 ) -> DataFrame:
-    """Events of any category per (user, anchor_day) and window, as ``_total_<N>``."""
-    spec = ActivitySpec(counts={action: tuple(windows)})
+    """Events of any category per (user, anchor_day), action and window."""
+    spec = ActivitySpec(counts=counts)
     days = anchors.groupBy("user_id", anchor_day().alias("anchor_day")).agg(F.count(F.lit(1)).alias("_rows"))
     repeat = F.col("_rows") if repeat_anchor_rows else F.lit(1)
     if ref_date is not None:
@@ -271,13 +288,19 @@ def user_totals(
         partials = days.where(F.col("anchor_day") == F.lit(ref_date).cast("date")).join(totals, "user_id")
     else:
         age = F.datediff("anchor_day", "event_day")
-        near = (age >= 1) & (age <= max(windows))
+        near = (age >= 1) & (age <= spec.max_window)
         joined = days.join(daily(events, spec, ["user_id"]), "user_id").where(near)
         partials = joined.groupBy("user_id", "anchor_day", "_rows").agg(*_window_partials(spec, age))
-    cols = [(F.coalesce(F.col(f"n_{action}_{n}"), F.lit(0)) * repeat).alias(f"_total_{n}") for n in windows]
+    cols = [
+        (F.coalesce(F.col(f"n_{a}_{n}"), F.lit(0)) * repeat).alias(total_name(a, n)) for a, windows in counts.items() for n in windows
+    ]
     return partials.select("user_id", "anchor_day", *cols)
 
 
+def total_fills(counts: Mapping[str, Sequence[int]]) -> dict[str, object]:
+    return {total_name(a, n): 0 for a, windows in counts.items() for n in windows}
+
+
 def normalised(part: Column, total: Column) -> Column:
     """Share of the user's events, 5 places; -1 when the user had none."""
     return F.when(total > 0, F.round(part / total, 5)).otherwise(-1.0)
@@ -286,13 +309,13 @@ def normalised(part: Column, total: Column) -> Column:
 def normalised_counts(anchors, events, level: Level, action: str, windows: Sequence[int], **kw) -> DataFrame:
     """Window count divided by the user's count over all categories."""
     counts = count_windows(anchors, events, level, action, windows, **kw).withColumn("anchor_day", anchor_day())
-    totals = user_totals(anchors, events, action, windows, **kw)
-    both = attach(counts, totals, None, {f"_total_{n}": 0 for n in windows})
+    wanted = {action: tuple(windows)}
+    both = attach(counts, user_totals(anchors, events, wanted, **kw), None, total_fills(wanted))
     cols = [
-        normalised(F.col(count_name(action, level, n)), F.col(f"_total_{n}")).alias(norm_name(action, level, n))
+        normalised(F.col(count_name(action, level, n)), F.col(total_name(action, n))).alias(norm_name(action, level, n))
         for n in windows
     ]
-    return both.select("user_id", level.id, "event_ts", *cols)
+    return both.select("user_id", *level.keys, "event_ts", *cols)
 
 
 def ratio(above: Column, below: Column) -> Column:
@@ -309,7 +332,7 @@ def action_ratios(anchors, events, level: Level, actions: tuple[str, str], windo
         ratio(F.col(count_name(above, level, n)), F.col(count_name(below, level, n))).alias(ratio_name(above, below, level, n))
         for n in windows
     ]
-    return counts.select("user_id", level.id, "event_ts", *cols)
+    return counts.select("user_id", *level.keys, "event_ts", *cols)
 
 
 def weighted(action: str, level: Level, windows: Sequence[int], weights: Sequence[float]) -> Column:
@@ -327,7 +350,7 @@ def weighted_counts(
 ) -> DataFrame:
     counts = count_windows(anchors, events, level, action, windows, **kw)
     return counts.select(
-        "user_id", level.id, "event_ts", weighted(action, level, windows, weights).alias(weighted_name(action, level))
+        "user_id", *level.keys, "event_ts", weighted(action, level, windows, weights).alias(weighted_name(action, level))
     )
 
 
@@ -338,17 +361,17 @@ def zscores(counts: DataFrame, level: Level, named: Mapping[str, str]) -> DataFr
     back, so a category holding a third of the anchors is combined in the map tasks.
     A null or zero sample deviation gives 0.
     """
-    keys = counts.select("user_id", level.id, "event_ts", *named).distinct()
-    stats = keys.where(F.col(level.id).isNotNull()).groupBy(level.id).agg(
+    keys = counts.select("user_id", *level.keys, "event_ts", *named).distinct()
+    stats = keys.where(F.col(level.id).isNotNull()).groupBy(*level.keys).agg(
         *[F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(named)],
         *[F.stddev_samp(c).alias(f"_dev_{i}") for i, c in enumerate(named)],
     )
-    both = keys.join(stats, level.id, "left")
+    both = keys.join(stats, level.keys, "left")
     cols = [
         F.when(F.col(f"_dev_{i}") > 0, (F.col(c) - F.col(f"_mean_{i}")) / F.col(f"_dev_{i}")).otherwise(0.0).alias(out)
         for i, (c, out) in enumerate(named.items())
     ]
-    return both.select("user_id", level.id, "event_ts", *cols)
+    return both.select("user_id", *level.keys, "event_ts", *cols)
 
 
 def count_zscores(anchors, events, level: Level, action: str, windows: Sequence[int], **kw) -> DataFrame:

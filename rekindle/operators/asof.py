@@ -20,13 +20,13 @@ BUCKET_SECONDS = 3600
 def moments(purchases: DataFrame, views: DataFrame, level: Level) -> DataFrame:
     """Distinct (user, category, ts) with flags for a purchase and a view at that time."""
     def side(df: DataFrame, bought: int, viewed: int) -> DataFrame:
-        cols = ["user_id", level.id, F.col("event_ts").alias("ts")]
+        cols = ["user_id", *level.keys, F.col("event_ts").alias("ts")]
         return df.where(F.col(level.id).isNotNull()).select(
             *cols, F.lit(bought).alias("bought"), F.lit(viewed).alias("viewed")
         )
 
     both = side(purchases, 1, 0).unionByName(side(views, 0, 1))
-    return both.groupBy("user_id", level.id, "ts").agg(
+    return both.groupBy("user_id", *level.keys, "ts").agg(
         F.max("bought").alias("bought"), F.max("viewed").alias("viewed")
     )
 
@@ -37,7 +37,7 @@ def _earlier(keys: list[str], order: str) -> Window:
 
 def prior_purchase(timeline: DataFrame, level: Level, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Each distinct view time with the latest purchase time strictly before it."""
-    keys = ["user_id", level.id]
+    keys = ["user_id", *level.keys]
     bucket = F.floor(F.unix_timestamp("ts") / bucket_seconds).alias("bucket")
     rows = timeline.select("*", bucket)
     bought_at = F.when(F.col("bought") == 1, F.col("ts"))
@@ -59,7 +59,7 @@ def activity_days(timeline: DataFrame, level: Level) -> DataFrame:
     ``views`` distinct view times, ``purchase_day`` the latest earlier day with a purchase,
     ``last_view_day`` the previous view day. At most one row per calendar day is ordered.
     """
-    keys = ["user_id", level.id]
+    keys = ["user_id", *level.keys]
     days = timeline.groupBy(*keys, F.to_date("ts").alias("day")).agg(
         F.sum("viewed").alias("views"), F.max("bought").alias("bought"), F.max(F.when(F.col("bought") == 1, F.col("ts"))).alias("_last_purchase")
     )
@@ -83,7 +83,7 @@ def activity_days(timeline: DataFrame, level: Level) -> DataFrame:
 
 def nearest_prior_purchase(purchases: DataFrame, views: DataFrame, level: Level) -> DataFrame:
     """Each distinct view time with the latest purchase on an earlier day, and the gap in days."""
-    keys = ["user_id", level.id]
+    keys = ["user_id", *level.keys]
     days = activity_days(moments(purchases, views, level), level)
     days = days.where(F.col("purchase_day").isNotNull()).select(*keys, "day", "purchase_ts")
     seen = views.select(*keys, F.col("event_ts").alias("view_ts")).distinct().withColumn("day", F.to_date("view_ts"))
@@ -103,7 +103,7 @@ def next_purchase(purchases: DataFrame, level: Level, bucket_seconds: int = 30 *
 
     The lead over a bucket's rows, then the first purchase of the next bucket that has one.
     """
-    keys = ["user_id", level.id]
+    keys = ["user_id", *level.keys]
     bucket = F.floor(F.unix_timestamp("event_ts") / bucket_seconds).alias("bucket")
     times = purchases.select(*keys, F.col("event_ts").alias("purchase_ts"), bucket).distinct()
     firsts = times.groupBy(*keys, "bucket").agg(F.min("purchase_ts").alias("_first"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rekindle.levels import Level
@@ -15,47 +17,58 @@ def entropy_name(action: str, level: Level) -> str:
 
 
 def category_counts(
-    anchors: DataFrame, events: DataFrame, level: Level, action: str, scope: str = "anchor", repeat_anchor_rows: bool = False
+    anchors: DataFrame,
+    events: DataFrame,
+    level: Level,
+    actions: Sequence[str],
+    scope: str = "anchor",
+    repeat_anchor_rows: bool = False,
 ) -> DataFrame:
-    """Past events per (user, category).
+    """Past events per (user, category), one count column per action.
 
     ``scope="anchor"`` looks only at categories the user has an anchor in, ``"all"`` at
     every category. With ``repeat_anchor_rows`` an event counts once per anchor row it precedes.
     """
-    keys = ["user_id", level.id]
-    past = events.where((F.col("event_type") == action) & F.col(level.id).isNotNull())
-    per_day = past.groupBy(*keys, F.to_date("event_ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    if scope == "all":
-        until = anchors.groupBy("user_id").agg(F.max(anchor_day()).alias("_until"))
-        joined = per_day.join(until, "user_id").where(F.col("day") < F.col("_until"))
-        return joined.groupBy(*keys).agg(F.sum("n").alias("n"))
-    if scope != "anchor":
+    keys = ["user_id", *level.keys]
+    past = events.where(F.col("event_type").isin(list(actions)) & F.col(level.id).isNotNull())
+    per_day = past.groupBy(*keys, F.to_date("event_ts").alias("day")).agg(
+        *[F.count(F.when(F.col("event_type") == a, 1)).alias(f"n_{a}") for a in actions]
+    )
+    if scope == "anchor":
+        sides = keys
+    elif scope == "all":
+        sides = ["user_id", *level.extra]
+    else:
         raise ValueError(f"unknown scope {scope!r}")
     if repeat_anchor_rows:
-        days = anchors.groupBy(*keys, anchor_day().alias("anchor_day")).agg(F.count(F.lit(1)).alias("_rows"))
-        joined = days.join(per_day, keys).where(F.col("day") < F.col("anchor_day"))
-        return joined.groupBy(*keys).agg(F.sum(F.col("n") * F.col("_rows")).alias("n"))
-    until = anchors.groupBy(*keys).agg(F.max(anchor_day()).alias("_until"))
-    joined = until.join(per_day, keys).where(F.col("day") < F.col("_until"))
-    return joined.groupBy(*keys).agg(F.sum("n").alias("n"))
+        days = anchors.groupBy(*sides, anchor_day().alias("until")).agg(F.count(F.lit(1)).alias("_rows"))
+    else:
+        days = anchors.groupBy(*sides).agg(F.max(anchor_day()).alias("until")).withColumn("_rows", F.lit(1))
+    joined = days.join(per_day, sides).where(F.col("day") < F.col("until"))
+    return joined.groupBy(*keys).agg(*[F.sum(F.col(f"n_{a}") * F.col("_rows")).alias(f"n_{a}") for a in actions])
 
 
-def user_entropy(counts: DataFrame) -> DataFrame:
+def user_entropy(counts: DataFrame, level: Level, actions: Sequence[str]) -> DataFrame:
     """Entropy in bits of each user's category shares, from counts alone.
 
     -sum(p log2 p) equals log2(T) - sum(c log2 c) / T, so one aggregate is enough.
     """
-    total = F.sum("n")
-    bits = F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total
-    return counts.groupBy("user_id").agg(F.round(F.abs(bits), 4).alias("entropy"))
+    def bits(action: str) -> Column:
+        n = F.col(f"n_{action}")
+        total = F.sum(n)
+        spread = F.log2(total) - F.sum(F.when(n > 0, n * F.log2(n)).otherwise(0.0)) / total
+        return F.when(total > 0, F.round(F.abs(spread), 4))
+
+    return counts.groupBy("user_id", *level.extra).agg(*[bits(a).alias(entropy_name(a, level)) for a in actions])
 
 
 def category_entropy(
-    anchors: DataFrame, events: DataFrame, level: Level, action: str, scope: str = "anchor", repeat_anchor_rows: bool = False
+    anchors: DataFrame, events: DataFrame, level: Level, actions: str | Sequence[str], scope: str = "anchor", repeat_anchor_rows: bool = False
 ) -> DataFrame:
-    """Per anchor key the user's category entropy; -1 without past events."""
-    found = user_entropy(category_counts(anchors, events, level, action, scope, repeat_anchor_rows))
+    """Per anchor key the user's category entropy per action; -1 without past events."""
+    actions = [actions] if isinstance(actions, str) else list(actions)
+    found = user_entropy(category_counts(anchors, events, level, actions, scope, repeat_anchor_rows), level, actions)
     keys = anchor_keys(anchors, level).drop("anchor_day")
-    return keys.join(found, "user_id", "left").select(
-        "user_id", level.id, "event_ts", F.coalesce("entropy", F.lit(-1.0)).alias(entropy_name(action, level))
+    return keys.join(found, ["user_id", *level.extra], "left").select(
+        "user_id", *level.keys, "event_ts", *[F.coalesce(entropy_name(a, level), F.lit(-1.0)).alias(entropy_name(a, level)) for a in actions]
     )

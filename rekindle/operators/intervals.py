@@ -34,7 +34,7 @@ def since_names(level: Level) -> dict[str, str]:
 def _days(anchors: DataFrame, level: Level) -> DataFrame:
     return (
         anchors.where(F.col(level.id).isNotNull())
-        .select("user_id", level.id, anchor_day().alias("anchor_day"))
+        .select("user_id", *level.keys, anchor_day().alias("anchor_day"))
         .distinct()
     )
 
@@ -45,7 +45,7 @@ def _spread(df: DataFrame, names: dict[str, str], stat: dict[str, object]) -> li
 
 def first_view_lag_by_day(anchors: DataFrame, days: DataFrame, level: Level) -> DataFrame:
     """Keyed by (user, category, anchor_day); ``days`` comes from :func:`activity_days`."""
-    keys = ["user_id", level.id]
+    keys = ["user_id", *level.keys]
     # a view day answers a purchase when no other view day lies between them
     first = days.where(
         F.col("purchase_day").isNotNull()
@@ -59,7 +59,7 @@ def first_view_lag_by_day(anchors: DataFrame, days: DataFrame, level: Level) ->
 
 def views_since_purchase_by_day(anchors: DataFrame, days: DataFrame, level: Level) -> DataFrame:
     """Keyed by (user, category, anchor_day); ``days`` comes from :func:`activity_days`."""
-    keys = ["user_id", level.id]
+    keys = ["user_id", *level.keys]
     names = since_names(level)
     known = days.where(F.col("purchase_day").isNotNull())
     joined = _days(anchors, level).join(known, keys).where(F.col("day") < F.col("anchor_day"))
@@ -77,7 +77,7 @@ def views_since_purchase_by_day(anchors: DataFrame, days: DataFrame, level: Leve
 
 def views_between_by_day(anchors: DataFrame, timeline: DataFrame, level: Level) -> DataFrame:
     """Keyed by (user, category, anchor_day); ``timeline`` comes from :func:`moments`."""
-    keys = ["user_id", level.id]
+    keys = ["user_id", *level.keys]
     assigned = prior_purchase(timeline, level)
     per_day = assigned.groupBy(*keys, "purchase_ts", F.to_date("view_ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     # purchases of one hot (user, category) are spread over salts; anchors are few and narrow

@@ -100,7 +100,7 @@ def attach(anchors: DataFrame, features: DataFrame, level: Level | None, fills:
     ``features`` is keyed by (user, category id of ``level``, anchor_day), or by (user,
     anchor_day) when ``level`` is None. Every anchor row is kept.
     """
-    keys = ["user_id", *([level.id] if level else []), "anchor_day"]
+    keys = ["user_id", *(level.keys if level else []), "anchor_day"]
     base = anchors if "anchor_day" in anchors.columns else anchors.withColumn("anchor_day", anchor_day())
     joined = base.join(features, keys, "left")
     added = [c for c in features.columns if c not in keys]

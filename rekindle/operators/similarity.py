@@ -40,8 +40,10 @@ def _with_tokens(df: DataFrame, text: str, granularity: str, side: str) -> DataF
     )
 
 
-def recent_texts(anchors: DataFrame, events: DataFrame, text: str, windows: Sequence[int], ref_date: str | None) -> DataFrame:
-    """Event counts per (user, anchor_day, text), cumulative per window as ``_n_<N>``."""
+def recent_texts(
+    anchors: DataFrame, events: DataFrame, text: str, windows: Sequence[int], ref_date: str | None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Event counts per (user, ``by``, anchor_day, text), cumulative per window as ``_n_<N>``."""
     known = events.where(F.col(text).isNotNull())
     longest = max(windows)
     if ref_date is not None:
@@ -51,12 +53,12 @@ def recent_texts(anchors: DataFrame, events: DataFrame, text: str, windows: Sequ
             & (F.col("event_ts") >= F.date_sub(ref, longest).cast("timestamp"))
         )
         age = F.datediff(ref, F.to_date("event_ts"))
-        counts = known.groupBy("user_id", F.col(text).alias("_text")).agg(
+        counts = known.groupBy("user_id", *by, F.col(text).alias("_text")).agg(
             *[F.sum(F.when(age <= n, 1).otherwise(0)).alias(f"_n_{n}") for n in windows]
         )
         users = anchors.where(F.to_date("event_ts") == ref).select("user_id", anchor_day().alias("anchor_day")).distinct()
         return counts.join(users, "user_id")
-    per_day = known.groupBy("user_id", F.col(text).alias("_text"), F.to_date("event_ts").alias("day")).agg(
+    per_day = known.groupBy("user_id", *by, F.col(text).alias("_text"), F.to_date("event_ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n")
     )
     days = anchors.select("user_id", anchor_day().alias("anchor_day")).distinct()
@@ -64,7 +66,7 @@ def recent_texts(anchors: DataFrame, events: DataFrame, text: str, windows: Sequ
     age = F.datediff("anchor_day", "day")
     return (
         joined.where((age >= 1) & (age <= longest))
-        .groupBy("user_id", "_salt", "anchor_day", "_text")
+        .groupBy("user_id", "_salt", *by, "anchor_day", "_text")
         .agg(*[F.sum(F.when(age <= n, F.col("n")).otherwise(0)).alias(f"_n_{n}") for n in windows])
         .drop("_salt")
     )
@@ -104,6 +106,7 @@ def propensity_similarity(
     subject: str,
     action: str,
     windows: Sequence[int],
+    by: Sequence[str] = (),
     granularity: str = "word",
     ref_date: str | None = None,
     measures: Sequence[str] = MEASURES,
@@ -113,19 +116,21 @@ def propensity_similarity(
     """Similarity features keyed by ``keys``; every anchor key is present.
 
     An anchor without events in a window, or without a text, gets ``fill`` (null by default).
+    ``by`` columns, present on both frames, must be equal for an event to count.
     """
     named = [similarity_name(s, subject, action, m, n) for n in windows for m in measures for s in stats]
     base = anchors.select(*keys, anchor_text).distinct().withColumn("anchor_day", anchor_day())
+    side = ["user_id", *by, "anchor_day"]
     subjects = base.where(F.coalesce(F.col(anchor_text), F.lit("")) != "").select(
-        "user_id", "anchor_day", F.col(anchor_text).alias("_about")
+        *side, F.col(anchor_text).alias("_about")
     ).distinct()
     counts = [f"_n_{n}" for n in windows]
-    recent = recent_texts(anchors, events.where(F.col("event_type") == action), event_text, windows, ref_date)
+    recent = recent_texts(anchors, events, event_text, windows, ref_date, by)
 
-    group = ["user_id", "anchor_day", "_about"]
+    group = [*side, "_about"]
     left = _with_tokens(subjects, "_about", granularity, "a")
     right = _with_tokens(recent, "_text", granularity, "b")
-    shared = left.join(right, ["user_id", "anchor_day", "_token"])
+    shared = left.join(right, [*side, "_token"])
     pairs = shared.groupBy(*group, "_text", "_sq_a", "_size_a", "_sq_b", "_size_b", *counts).agg(
         F.sum(F.col("_c_a") * F.col("_c_b")).alias("_dot"), F.count(F.lit(1)).alias("_shared")
     )
@@ -136,8 +141,8 @@ def propensity_similarity(
     gain = F.struct(cosine.alias("_cosine"), jaccard.alias("_jaccard"), *[F.col(c) for c in counts])
     loss = F.struct(*zero, *[(-F.col(c)).alias(c) for c in counts])
     moved = pairs.select(*group, F.inline(F.array(gain, loss)))
-    totals = recent.groupBy("user_id", "anchor_day").agg(*[F.sum(c).alias(c) for c in counts])
-    zeros = subjects.join(totals, ["user_id", "anchor_day"]).select(*group, *zero, *counts)
+    totals = recent.groupBy(*side).agg(*[F.sum(c).alias(c) for c in counts])
+    zeros = subjects.join(totals, side).select(*group, *zero, *counts)
     weighted = (
         zeros.unionByName(moved)
         .groupBy(*group, "_cosine", "_jaccard")
@@ -146,7 +151,7 @@ def propensity_similarity(
     wanted = set(named)
     summary = [c.alias(name) for c, name in _summaries(subject, action, windows) if name in wanted]
     found = weighted.groupBy(*group).agg(*summary).withColumnRenamed("_about", anchor_text)
-    joined = base.join(found, ["user_id", "anchor_day", anchor_text], "left")
+    joined = base.join(found, [*side, anchor_text], "left")
     return joined.select(
         *keys, *[F.coalesce(F.col(c), F.lit(fill)).alias(c) if fill is not None else F.col(c) for c in named]
     )
@@ -154,13 +159,40 @@ def propensity_similarity(
 
 def category_similarity(anchors: DataFrame, events: DataFrame, level: Level, action: str, windows: Sequence[int], **kw) -> DataFrame:
     """Anchor category name against the names of the user's recent event categories."""
-    keys = ["user_id", level.id, "event_ts"]
+    keys = ["user_id", *level.keys, "event_ts"]
+    mine = events.where(F.col("event_type") == action)
     return propensity_similarity(
-        anchors, events, keys, level.label, level.label, f"{level.name}_cat", action, windows, **kw
+        anchors, mine, keys, level.label, level.label, f"{level.name}_cat", action, windows, by=level.extra, **kw
     )
 
 
+def category_similarity_by_action(
+    anchors: DataFrame, events: DataFrame, level: Level, actions: Sequence[str], windows: Sequence[int], **kw
+) -> DataFrame:
+    """:func:`category_similarity` for several actions in one plan."""
+    keys = ["user_id", *level.keys, "event_ts"]
+    mine = events.where(F.col("event_type").isin(list(actions)))
+    asked = anchors.select(*keys, level.label).distinct().withColumn("event_type", F.explode(F.array(*[F.lit(a) for a in actions])))
+    subject = f"{level.name}_cat"
+    long = propensity_similarity(
+        asked, mine, [*keys, "event_type"], level.label, level.label, subject, "any", windows, by=[*level.extra, "event_type"], **kw
+    )
+    values = [c for c in long.columns if c not in (*keys, "event_type")]
+    # one row per action and key
+    packed = long.groupBy(*keys).agg(
+        *[F.first(F.when(F.col("event_type") == a, F.struct(*values)), ignorenulls=True).alias(f"_{a}") for a in actions]
+    )
+    marker = f"f_{{s}}_{subject}_any_propensity"
+    out = []
+    for a in actions:
+        for s in STATS:
+            start = marker.replace("{s}", s)
+            out += [F.col(f"_{a}.{c}").alias(c.replace(start, f"f_{s}_{subject}_{a}_propensity")) for c in values if c.startswith(start)]
+    return packed.select(*keys, *out)
+
+
 def title_similarity(anchors: DataFrame, events: DataFrame, action: str, windows: Sequence[int], **kw) -> DataFrame:
     """Anchor item title against the titles of the user's recent events."""
     keys = ["user_id", "item_id", "title", "event_ts"]
-    return propensity_similarity(anchors, events, keys, "title", "title", "title", action, windows, **kw)
+    mine = events.where(F.col("event_type") == action)
+    return propensity_similarity(anchors, mine, keys, "title", "title", "title", action, windows, **kw)
