@@ -74,71 +74,73 @@ def zscore_name(action: str, level: Level, days: int) -> str:
 
 
 # ---- partial sums ---------------------------------------------------------------------
+# Measures per action: n events, c known amounts, s and q their sum and sum of squares,
+# lo and hi their extremes, last the latest day. Written as SQL text because a grid has
+# hundreds of them.
+
+_MERGE = {"n": "sum", "c": "sum", "s": "sum", "q": "sum", "lo": "min", "hi": "max", "last": "max"}
 
 
 def _as_measures(events: DataFrame, spec: ActivitySpec, keys: Sequence[str]) -> DataFrame:
-    """One row per event with a 0/1 count, and amount measures, per action."""
-    cols: list[Column] = []
+    """One row per event with its measures."""
+    cols: list[str] = []
     for a in spec.actions:
-        hit = F.col("event_type") == a
-        cols.append(F.when(hit, 1).otherwise(0).cast("bigint").alias(f"n_{a}"))
+        hit = f"event_type = '{a}'"
+        cols.append(f"CAST({hit} AS BIGINT) AS n_{a}")
         if a in spec.amounts:
-            value = F.when(hit, F.col("amount").cast("double"))
+            value = f"CASE WHEN {hit} THEN CAST(amount AS DOUBLE) END"
             cols += [
-                F.when(value.isNotNull(), 1).otherwise(0).cast("bigint").alias(f"c_{a}"),
-                value.alias(f"s_{a}"),
-                (value * value).alias(f"q_{a}"),
-                value.alias(f"lo_{a}"),
-                value.alias(f"hi_{a}"),
+                f"CAST({hit} AND amount IS NOT NULL AS BIGINT) AS c_{a}",
+                f"{value} AS s_{a}",
+                f"power({value}, 2) AS q_{a}",
+                f"{value} AS lo_{a}",
+                f"{value} AS hi_{a}",
             ]
     relevant = events.where(F.col("event_type").isin(spec.actions))
-    return relevant.select(*keys, F.to_date("event_ts").alias("event_day"), *cols)
-
-
-_MERGE = {"n": F.sum, "c": F.sum, "s": F.sum, "q": F.sum, "lo": F.min, "hi": F.max, "last": F.max}
+    return relevant.selectExpr(*keys, "to_date(event_ts) AS event_day", *cols)
 
 
 def _merge(col: str) -> Column:
-    return _MERGE[col.split("_", 1)[0]](col).alias(col)
+    return F.expr(f"{_MERGE[col.split('_', 1)[0]]}({col}) AS {col}")
 
 
-def _window_partials(spec: ActivitySpec, age: Column) -> list[Column]:
-    """Conditional aggregates for every window, over rows with daily or event measures."""
+def _window_partials(spec: ActivitySpec, anchored: str) -> list[Column]:
+    """Conditional aggregates for every window over rows of measures.
 
-    def inside(days: int, col: str) -> Column:
-        return F.when((age >= 1) & (age <= days), F.col(col))
+    ``anchored`` is the SQL of the anchor's day.
+    """
+    age = f"datediff({anchored}, event_day)"
+
+    def inside(days: int, col: str) -> str:
+        return f"CASE WHEN {age} BETWEEN 1 AND {days} THEN {col} END"
 
-    out: list[Column] = []
+    out: list[str] = []
     for a, windows in spec.counts.items():
-        out += [F.sum(inside(n, f"n_{a}")).alias(f"n_{a}_{n}") for n in windows]
-    for a in spec.recency:
-        out.append(F.max(F.when((age >= 1) & (F.col(f"n_{a}") > 0), F.col("event_day"))).alias(f"last_{a}"))
+        out += [f"sum({inside(n, f'n_{a}')}) AS n_{a}_{n}" for n in windows]
+    out += [f"max(CASE WHEN {age} >= 1 AND n_{a} > 0 THEN event_day END) AS last_{a}" for a in spec.recency]
     for a, windows in spec.amounts.items():
         for n in windows:
-            for m in ("c", "s", "q", "lo", "hi"):
-                out.append(_MERGE[m](inside(n, f"{m}_{a}")).alias(f"{m}_{a}_{n}"))
-    return out
+            out += [f"{_MERGE[m]}({inside(n, f'{m}_{a}')}) AS {m}_{a}_{n}" for m in ("c", "s", "q", "lo", "hi")]
+    return [F.expr(e) for e in out]
 
 
-def _finish(partials: DataFrame, spec: ActivitySpec, level: Level, keys: Sequence[str], repeat: Column) -> DataFrame:
+def _finish(partials: DataFrame, spec: ActivitySpec, level: Level, keys: Sequence[str], repeat: str) -> DataFrame:
     """Partial sums to feature columns. ``repeat`` multiplies additive measures."""
-    out: list[Column] = []
+    out: list[str] = []
     for a, windows in spec.counts.items():
-        out += [(F.coalesce(F.col(f"n_{a}_{n}"), F.lit(0)) * repeat).cast("bigint").alias(count_name(a, level, n)) for n in windows]
-    for a in spec.recency:
-        out.append(F.coalesce(F.datediff("anchor_day", f"last_{a}"), F.lit(-1)).alias(recency_name(a, level)))
+        out += [f"CAST(coalesce(n_{a}_{n}, 0) * {repeat} AS BIGINT) AS {count_name(a, level, n)}" for n in windows]
+    out += [f"coalesce(datediff(anchor_day, last_{a}), -1) AS {recency_name(a, level)}" for a in spec.recency]
     for a, windows in spec.amounts.items():
         for n in windows:
-            c, s, q = (F.col(f"{m}_{a}_{n}") * repeat for m in ("c", "s", "q"))
-            var = F.when(c > 1, F.greatest((q - s * s / c) / (c - 1), F.lit(0.0)))
+            c, s, q = (f"({m}_{a}_{n} * {repeat})" for m in ("c", "s", "q"))
             out += [
-                F.coalesce(s, F.lit(0.0)).alias(amount_name("sum", level, n)),
-                F.coalesce(F.when(c > 0, s / c), F.lit(0.0)).alias(amount_name("mean", level, n)),
-                F.coalesce(F.col(f"hi_{a}_{n}"), F.lit(-1.0)).alias(amount_name("max", level, n)),
-                F.coalesce(F.col(f"lo_{a}_{n}"), F.lit(-1.0)).alias(amount_name("min", level, n)),
-                F.coalesce(var, F.lit(-1.0)).alias(amount_name("var", level, n)),
+                f"coalesce({s}, 0D) AS {amount_name('sum', level, n)}",
+                f"coalesce(CASE WHEN {c} > 0 THEN {s} / {c} END, 0D) AS {amount_name('mean', level, n)}",
+                f"coalesce(hi_{a}_{n}, -1D) AS {amount_name('max', level, n)}",
+                f"coalesce(lo_{a}_{n}, -1D) AS {amount_name('min', level, n)}",
+                f"coalesce(CASE WHEN {c} > 1 THEN greatest(({q} - {s} * {s} / {c}) / ({c} - 1), 0D) END, -1D) AS {amount_name('var', level, n)}",
             ]
-    return partials.select(*keys, *out)
+    return partials.selectExpr(*keys, *out)
 
 
 def fills(spec: ActivitySpec, level: Level) -> dict[str, object]:
@@ -169,8 +171,7 @@ def reference_date_partials(events: DataFrame, spec: ActivitySpec, ref_date: str
     """Leaf totals of every (user, leaf, mid, top) for one reference date."""
     keys = ["user_id", *[lv.id for lv in LEVELS]]
     rows = _as_measures(_bounded(events, spec, ref_date), spec, keys)
-    age = F.datediff(F.lit(ref_date).cast("date"), F.col("event_day"))
-    return rows.groupBy(*keys).agg(*_window_partials(spec, age))
+    return rows.groupBy(*keys).agg(*_window_partials(spec, f"DATE'{ref_date}'"))
 
 
 def roll_up(partials: DataFrame, level: Level) -> DataFrame:
@@ -207,7 +208,7 @@ def level_activity(
         .groupBy(*keys, anchor_day().alias("anchor_day"))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    repeat = F.col("_rows") if repeat_anchor_rows else F.lit(1)
+    repeat = "_rows" if repeat_anchor_rows else "1"
     if ref_date is not None:
         totals = roll_up(reference_date_partials(events, spec, ref_date), level)
         joined = days.where(F.col("anchor_day") == F.lit(ref_date).cast("date")).join(totals, keys)
@@ -225,7 +226,7 @@ def level_activity(
     if spec.max_window is not None:
         near = near & (age <= spec.max_window)
     joined = days.join(per_day, keys).where(near)
-    partials = joined.groupBy(*keys, "anchor_day", "_rows").agg(*_window_partials(spec, age))
+    partials = joined.groupBy(*keys, "anchor_day", "_rows").agg(*_window_partials(spec, "anchor_day"))
     return _finish(partials, spec, level, [*keys, "anchor_day"], repeat)
 
 
@@ -280,30 +281,27 @@ def user_totals(
     """Events of any category per (user, anchor_day), action and window."""
     spec = ActivitySpec(counts=counts)
     days = anchors.groupBy("user_id", anchor_day().alias("anchor_day")).agg(F.count(F.lit(1)).alias("_rows"))
-    repeat = F.col("_rows") if repeat_anchor_rows else F.lit(1)
+    repeat = "_rows" if repeat_anchor_rows else "1"
     if ref_date is not None:
         rows = _as_measures(_bounded(events, spec, ref_date), spec, ["user_id"])
-        age = F.datediff(F.lit(ref_date).cast("date"), F.col("event_day"))
-        totals = rows.groupBy("user_id").agg(*_window_partials(spec, age))
+        totals = rows.groupBy("user_id").agg(*_window_partials(spec, f"DATE'{ref_date}'"))
         partials = days.where(F.col("anchor_day") == F.lit(ref_date).cast("date")).join(totals, "user_id")
     else:
         age = F.datediff("anchor_day", "event_day")
         near = (age >= 1) & (age <= spec.max_window)
         joined = days.join(daily(events, spec, ["user_id"]), "user_id").where(near)
-        partials = joined.groupBy("user_id", "anchor_day", "_rows").agg(*_window_partials(spec, age))
-    cols = [
-        (F.coalesce(F.col(f"n_{a}_{n}"), F.lit(0)) * repeat).alias(total_name(a, n)) for a, windows in counts.items() for n in windows
-    ]
-    return partials.select("user_id", "anchor_day", *cols)
+        partials = joined.groupBy("user_id", "anchor_day", "_rows").agg(*_window_partials(spec, "anchor_day"))
+    cols = [f"coalesce(n_{a}_{n}, 0) * {repeat} AS {total_name(a, n)}" for a, windows in counts.items() for n in windows]
+    return partials.selectExpr("user_id", "anchor_day", *cols)
 
 
 def total_fills(counts: Mapping[str, Sequence[int]]) -> dict[str, object]:
     return {total_name(a, n): 0 for a, windows in counts.items() for n in windows}
 
 
-def normalised(part: Column, total: Column) -> Column:
-    """Share of the user's events, 5 places; -1 when the user had none."""
-    return F.when(total > 0, F.round(part / total, 5)).otherwise(-1.0)
+def normalised(part: str, total: str) -> str:
+    """SQL of the share of the user's events, 5 places; -1 when the user had none."""
+    return f"CASE WHEN {total} > 0 THEN round({part} / {total}, 5) ELSE -1D END"
 
 
 def normalised_counts(anchors, events, level: Level, action: str, windows: Sequence[int], **kw) -> DataFrame:
@@ -312,15 +310,14 @@ def normalised_counts(anchors, events, level: Level, action: str, windows: Seque
     wanted = {action: tuple(windows)}
     both = attach(counts, user_totals(anchors, events, wanted, **kw), None, total_fills(wanted))
     cols = [
-        normalised(F.col(count_name(action, level, n)), F.col(total_name(action, n))).alias(norm_name(action, level, n))
-        for n in windows
+        f"{normalised(count_name(action, level, n), total_name(action, n))} AS {norm_name(action, level, n)}" for n in windows
     ]
-    return both.select("user_id", *level.keys, "event_ts", *cols)
+    return both.selectExpr("user_id", *level.keys, "event_ts", *cols)
 
 
-def ratio(above: Column, below: Column) -> Column:
-    """above / below; -1 for a zero denominator."""
-    return F.when(below == 0, F.lit(-1.0)).otherwise(above / below)
+def ratio(above: str, below: str) -> str:
+    """SQL of above / below; -1 for a zero denominator."""
+    return f"CASE WHEN {below} = 0 THEN -1D ELSE {above} / {below} END"
 
 
 def action_ratios(anchors, events, level: Level, actions: tuple[str, str], windows: Sequence[int], **kw) -> DataFrame:
@@ -329,49 +326,53 @@ def action_ratios(anchors, events, level: Level, actions: tuple[str, str], windo
     spec = ActivitySpec(counts={above: tuple(windows), below: tuple(windows)})
     counts = activity(anchors, events, level, spec, **kw)
     cols = [
-        ratio(F.col(count_name(above, level, n)), F.col(count_name(below, level, n))).alias(ratio_name(above, below, level, n))
-        for n in windows
+        f"{ratio(count_name(above, level, n), count_name(below, level, n))} AS {ratio_name(above, below, level, n)}" for n in windows
     ]
-    return counts.select("user_id", *level.keys, "event_ts", *cols)
+    return counts.selectExpr("user_id", *level.keys, "event_ts", *cols)
 
 
-def weighted(action: str, level: Level, windows: Sequence[int], weights: Sequence[float]) -> Column:
-    """Weighted sum of window counts; windows are cumulative."""
+def weighted(action: str, level: Level, windows: Sequence[int], weights: Sequence[float]) -> str:
+    """SQL of the weighted sum of window counts; windows are cumulative."""
     if len(windows) != len(weights):
         raise ValueError("one weight per window")
-    total = F.lit(0.0)
-    for n, w in zip(windows, weights):
-        total = total + F.col(count_name(action, level, n)) * F.lit(float(w))
-    return total
+    return " + ".join(f"{count_name(action, level, n)} * {float(w)}D" for n, w in zip(windows, weights))
 
 
 def weighted_counts(
     anchors, events, level: Level, action: str, windows: Sequence[int], weights: Sequence[float], **kw
 ) -> DataFrame:
     counts = count_windows(anchors, events, level, action, windows, **kw)
-    return counts.select(
-        "user_id", *level.keys, "event_ts", weighted(action, level, windows, weights).alias(weighted_name(action, level))
-    )
+    return counts.selectExpr("user_id", *level.keys, "event_ts", f"{weighted(action, level, windows, weights)} AS {weighted_name(action, level)}")
+
+
+def population_stats(counts: DataFrame, level: Level, columns: Sequence[str], times: str = "1") -> DataFrame:
+    """Mean and sample deviation of count columns per category, as ``_mean_<i>`` and ``_dev_<i>``.
+
+    A row stands for ``times`` anchors. Sums only, so a category holding a third of the
+    anchors is combined in the map tasks.
+    """
+    out = []
+    for i, c in enumerate(columns):
+        n, s, q = f"sum({times})", f"sum({c} * {times})", f"sum({c} * {c} * {times})"
+        out += [f"{s} / {n} AS _mean_{i}", f"CASE WHEN {n} > 1 THEN sqrt(greatest(({q} - {s} * {s} / {n}) / ({n} - 1), 0D)) END AS _dev_{i}"]
+    return counts.where(F.col(level.id).isNotNull()).groupBy(*level.keys).agg(*[F.expr(e) for e in out])
+
+
+def standard_scores(named: Mapping[str, str]) -> list[str]:
+    """SQL of the scores of count columns; a null or zero deviation gives 0."""
+    return [
+        f"CASE WHEN _dev_{i} > 0 THEN ({c} - _mean_{i}) / _dev_{i} ELSE 0D END AS {out}" for i, (c, out) in enumerate(named.items())
+    ]
 
 
 def zscores(counts: DataFrame, level: Level, named: Mapping[str, str]) -> DataFrame:
     """Standard scores of count columns against all anchors of the same category.
 
-    ``named`` maps count column to output column. The population is aggregated and joined
-    back, so a category holding a third of the anchors is combined in the map tasks.
-    A null or zero sample deviation gives 0.
+    ``named`` maps count column to output column.
     """
     keys = counts.select("user_id", *level.keys, "event_ts", *named).distinct()
-    stats = keys.where(F.col(level.id).isNotNull()).groupBy(*level.keys).agg(
-        *[F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(named)],
-        *[F.stddev_samp(c).alias(f"_dev_{i}") for i, c in enumerate(named)],
-    )
-    both = keys.join(stats, level.keys, "left")
-    cols = [
-        F.when(F.col(f"_dev_{i}") > 0, (F.col(c) - F.col(f"_mean_{i}")) / F.col(f"_dev_{i}")).otherwise(0.0).alias(out)
-        for i, (c, out) in enumerate(named.items())
-    ]
-    return both.select("user_id", *level.keys, "event_ts", *cols)
+    both = keys.join(population_stats(keys, level, list(named)), level.keys, "left")
+    return both.selectExpr("user_id", *level.keys, "event_ts", *standard_scores(named))
 
 
 def count_zscores(anchors, events, level: Level, action: str, windows: Sequence[int], **kw) -> DataFrame:

@@ -39,39 +39,28 @@ def _days(anchors: DataFrame, level: Level) -> DataFrame:
     )
 
 
-def _spread(df: DataFrame, names: dict[str, str], stat: dict[str, object]) -> list:
-    return [stat[k].alias(v) for k, v in names.items()]
+def day_gaps_by_day(anchors: DataFrame, days: DataFrame, level: Level) -> DataFrame:
+    """First-view lags and views since the last purchase, keyed by (user, category, anchor_day).
 
-
-def first_view_lag_by_day(anchors: DataFrame, days: DataFrame, level: Level) -> DataFrame:
-    """Keyed by (user, category, anchor_day); ``days`` comes from :func:`activity_days`."""
-    keys = ["user_id", *level.keys]
-    # a view day answers a purchase when no other view day lies between them
-    first = days.where(
-        F.col("purchase_day").isNotNull()
-        & (F.col("last_view_day").isNull() | (F.col("last_view_day") <= F.col("purchase_day")))
-    )
-    joined = _days(anchors, level).join(first, keys).where(F.col("day") < F.col("anchor_day"))
-    lag = F.datediff("day", "purchase_day")
-    stat = {"min": F.min(lag), "max": F.max(lag), "mean": F.avg(lag)}
-    return joined.groupBy(*keys, "anchor_day").agg(*_spread(joined, first_view_names(level), stat))
-
-
-def views_since_purchase_by_day(anchors: DataFrame, days: DataFrame, level: Level) -> DataFrame:
-    """Keyed by (user, category, anchor_day); ``days`` comes from :func:`activity_days`."""
+    ``days`` comes from :func:`activity_days`: at most one row per calendar day and key.
+    """
     keys = ["user_id", *level.keys]
-    names = since_names(level)
+    lag, since = first_view_names(level), since_names(level)
     known = days.where(F.col("purchase_day").isNotNull())
+    # a view day answers a purchase when no other view day lies between them
+    first = F.col("last_view_day").isNull() | (F.col("last_view_day") <= F.col("purchase_day"))
+    known = known.withColumn("lag", F.when(first, F.datediff("day", "purchase_day")))
     joined = _days(anchors, level).join(known, keys).where(F.col("day") < F.col("anchor_day"))
+    # one answered view day at most per purchase day
     per_purchase = joined.groupBy(*keys, "anchor_day", "purchase_day").agg(
-        F.sum("views").alias("views"), F.max("day").alias("last_day")
+        F.sum("views").alias("views"), F.max("day").alias("last_day"), F.max("lag").alias("lag")
     )
     latest = F.max(F.struct("purchase_day", "views", "last_day")).alias("x")
-    return per_purchase.groupBy(*keys, "anchor_day").agg(latest).select(
-        *keys,
-        "anchor_day",
-        F.col("x.views").alias(names["views"]),
-        F.datediff("x.last_day", "x.purchase_day").alias(names["gap"]),
+    found = per_purchase.groupBy(*keys, "anchor_day").agg(
+        latest, F.min("lag").alias(lag["min"]), F.max("lag").alias(lag["max"]), F.avg("lag").alias(lag["mean"])
+    )
+    return found.select(
+        *keys, "anchor_day", *lag.values(), F.col("x.views").alias(since["views"]), F.datediff("x.last_day", "x.purchase_day").alias(since["gap"])
     )
 
 
@@ -91,7 +80,7 @@ def views_between_by_day(anchors: DataFrame, timeline: DataFrame, level: Level)
         "min_count": F.min("views"), "max_count": F.max("views"), "mean_count": F.avg("views"),
         "min_rate": F.min(rate), "max_rate": F.max(rate), "mean_rate": F.avg(rate),
     }
-    return per_purchase.groupBy(*keys, "anchor_day").agg(*_spread(per_purchase, between_names(level), stat))
+    return per_purchase.groupBy(*keys, "anchor_day").agg(*[stat[k].alias(v) for k, v in between_names(level).items()])
 
 
 def first_view_fills(level: Level) -> dict[str, object]:
@@ -114,7 +103,7 @@ def first_view_lag(anchors: DataFrame, purchases: DataFrame, views: DataFrame, l
     A view answers only its closest purchase.
     """
     days = activity_days(moments(purchases, views, level), level)
-    found = first_view_lag_by_day(anchors, days, level)
+    found = day_gaps_by_day(anchors, days, level).select("user_id", *level.keys, "anchor_day", *first_view_names(level).values())
     return attach(anchor_keys(anchors, level), found, level, first_view_fills(level)).drop("anchor_day")
 
 
@@ -127,5 +116,5 @@ def views_between_purchases(anchors: DataFrame, purchases: DataFrame, views: Dat
 def views_since_last_purchase(anchors: DataFrame, purchases: DataFrame, views: DataFrame, level: Level) -> DataFrame:
     """Views after the latest viewed-after purchase, and the longest gap in days to that purchase."""
     days = activity_days(moments(purchases, views, level), level)
-    found = views_since_purchase_by_day(anchors, days, level)
+    found = day_gaps_by_day(anchors, days, level).select("user_id", *level.keys, "anchor_day", *since_names(level).values())
     return attach(anchor_keys(anchors, level), found, level, since_fills(level)).drop("anchor_day")

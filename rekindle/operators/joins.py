@@ -102,12 +102,9 @@ def attach(anchors: DataFrame, features: DataFrame, level: Level | None, fills:
     """
     keys = ["user_id", *(level.keys if level else []), "anchor_day"]
     base = anchors if "anchor_day" in anchors.columns else anchors.withColumn("anchor_day", anchor_day())
-    joined = base.join(features, keys, "left")
     added = [c for c in features.columns if c not in keys]
-    return joined.select(
-        *[c for c in base.columns],
-        *[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if fills.get(c) is not None else F.col(c) for c in added],
-    )
+    joined = base.join(features, keys, "left").select(*base.columns, *added)
+    return joined.fillna({c: v for c, v in fills.items() if c in added})
 
 
 def merge_stats(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], suffixes=("_0", "_1")) -> DataFrame:

@@ -13,10 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rekindle.functions.arrays import poisson_once, score_ratio
 from rekindle.functions.text import squared_norm, token_counts, tokens
 from rekindle.levels import Level
 from rekindle.operators.joins import anchor_day, salted_join
@@ -72,28 +71,26 @@ def recent_texts(
     )
 
 
-def _summaries(subject: str, action: str, windows: Sequence[int]) -> list[tuple[Column, str]]:
-    out = []
+def _summaries(subject: str, action: str, windows: Sequence[int]) -> dict[str, str]:
+    """Output name → SQL over rows (_cosine, _jaccard, _n_<N>) that stand for _n_<N> events each."""
+    out = {}
     for n in windows:
-        weight = F.col(f"_n_{n}")
-        total = F.sum(weight)
+        w, total = f"_n_{n}", f"sum(_n_{n})"
         for m in MEASURES:
-            sim = F.col(f"_{m}")
-            present = F.when(weight > 0, sim)
-            mean = F.sum(sim * weight) / total
-            largest, smallest = F.max(present), F.min(present)
-            some = total > 0
+            sim = f"_{m}"
+            high, low = (f"{f}(CASE WHEN {w} > 0 THEN {sim} END)" for f in ("max", "min"))
+            mean = f"sum({sim} * {w}) / {total}"
             stats = {
-                "max": largest,
-                "min": smallest,
-                "mean": F.when(some, mean),
-                "var": F.when(some, F.greatest(F.sum(sim * sim * weight) / total - mean * mean, F.lit(0.0))),
-                "scoreratio": score_ratio(smallest, largest),
-                "poisson": F.when(some, poisson_once(mean)),
+                "max": high,
+                "min": low,
+                "mean": f"CASE WHEN {total} > 0 THEN {mean} END",
+                "var": f"CASE WHEN {total} > 0 THEN greatest(sum({sim} * {sim} * {w}) / {total} - power({mean}, 2), 0D) END",
+                "scoreratio": f"CASE WHEN {low} > 0 THEN {high} / {low} WHEN {low} IS NOT NULL THEN 0D END",
+                "poisson": f"CASE WHEN {total} > 0 THEN {mean} * exp(-({mean})) END",
             }
             for name, p in _PERCENTS.items():
-                stats[name] = F.percentile(sim, p, weight)
-            out += [(stats[s], similarity_name(s, subject, action, m, n)) for s in STATS]
+                stats[name] = f"percentile({sim}, {p}D, {w})"
+            out |= {similarity_name(s, subject, action, m, n): stats[s] for s in STATS}
     return out
 
 
@@ -148,13 +145,12 @@ def propensity_similarity(
         .groupBy(*group, "_cosine", "_jaccard")
         .agg(*[F.sum(c).alias(c) for c in counts])
     )
-    wanted = set(named)
-    summary = [c.alias(name) for c, name in _summaries(subject, action, windows) if name in wanted]
+    summaries = _summaries(subject, action, windows)
+    summary = [F.expr(f"{summaries[name]} AS {name}") for name in named]
     found = weighted.groupBy(*group).agg(*summary).withColumnRenamed("_about", anchor_text)
     joined = base.join(found, [*side, anchor_text], "left")
-    return joined.select(
-        *keys, *[F.coalesce(F.col(c), F.lit(fill)).alias(c) if fill is not None else F.col(c) for c in named]
-    )
+    out = joined.select(*keys, *named)
+    return out if fill is None else out.fillna(float(fill), subset=named)
 
 
 def category_similarity(anchors: DataFrame, events: DataFrame, level: Level, action: str, windows: Sequence[int], **kw) -> DataFrame:
@@ -182,13 +178,8 @@ def category_similarity_by_action(
     packed = long.groupBy(*keys).agg(
         *[F.first(F.when(F.col("event_type") == a, F.struct(*values)), ignorenulls=True).alias(f"_{a}") for a in actions]
     )
-    marker = f"f_{{s}}_{subject}_any_propensity"
-    out = []
-    for a in actions:
-        for s in STATS:
-            start = marker.replace("{s}", s)
-            out += [F.col(f"_{a}.{c}").alias(c.replace(start, f"f_{s}_{subject}_{a}_propensity")) for c in values if c.startswith(start)]
-    return packed.select(*keys, *out)
+    named = [f"_{a}.{c} AS {c.replace(f'_{subject}_any_', f'_{subject}_{a}_')}" for a in actions for c in values]
+    return packed.selectExpr(*keys, *named)
 
 
 def title_similarity(anchors: DataFrame, events: DataFrame, action: str, windows: Sequence[int], **kw) -> DataFrame:
