@@ -4,14 +4,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queries.common import (
-    ACTIONS, AGE, CATEGORIES, CONFIG, ITEMS, ORDER_LINES, REF, WINDOWS, WITH_CLICKS, WITH_REF, click_anchors, query, ref_anchors, sql_rounded, with_names,
+    ACTIONS, AGE, CATEGORIES, CONFIG, ITEMS, ORDER_LINES, REF, WINDOWS, WITH_CLICKS, WITH_REF, click_anchors, query, ref_anchors, sql_rounded,
 )
 from rekindle.levels import LEAF, MID
 from rekindle.operators import activity as act
 from rekindle.operators import joins as jn
 from rekindle.operators.attributes import item_attributes
 from rekindle.operators.labels import label_reinterest
-from rekindle.plans.features import FeatureGrid, counts_only, feature_matrix
+from rekindle.plans.features import FeatureGrid, counts_only, feature_matrix, level_names
 from rekindle.plans.training import prepare
 from rekindle.sources.supplied import Supplied
 
@@ -23,8 +23,7 @@ MONTH_GRID = FeatureGrid(
 
 def flagship(t: Supplied) -> DataFrame:
     """All anchors at the reference date with every feature family and the re-interest label."""
-    anchors = with_names(t, ref_anchors(t))
-    matrix = feature_matrix(anchors, t.named_actions(), MONTH_GRID, ref_date=REF)
+    matrix = feature_matrix(ref_anchors(t), t.actions(), MONTH_GRID, ref_date=REF, names=level_names(t.category_names()))
     return label_reinterest(matrix, t.views(), REF)
 
 
@@ -35,8 +34,7 @@ def _(t):
 
 @query("feature_matrix_many_days")
 def _(t):
-    anchors = with_names(t, click_anchors(t))
-    return feature_matrix(anchors, t.named_actions(), MONTH_GRID)
+    return feature_matrix(click_anchors(t), t.actions(), MONTH_GRID, names=level_names(t.category_names()))
 
 
 def _count_grid_sql() -> str:

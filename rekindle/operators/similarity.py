@@ -109,24 +109,35 @@ def propensity_similarity(
     measures: Sequence[str] = MEASURES,
     stats: Sequence[str] = STATS,
     fill: float | None = None,
+    lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Similarity features keyed by ``keys``; every anchor key is present.
 
     An anchor without events in a window, or without a text, gets ``fill`` (null by default).
-    ``by`` columns, present on both frames, must be equal for an event to count.
+    ``by`` columns, present on both frames, must be equal for an event to count. With
+    ``lookup``, ``anchor_text`` and ``event_text`` are ids and the last column of ``lookup``
+    holds their text: ids are counted and moved, texts join the counted rows only.
     """
     named = [similarity_name(s, subject, action, m, n) for n in windows for m in measures for s in stats]
-    base = anchors.select(*keys, anchor_text).distinct().withColumn("anchor_day", anchor_day())
+    base = anchors.select(*dict.fromkeys([*keys, anchor_text])).distinct().withColumn("anchor_day", anchor_day())
     side = ["user_id", *by, "anchor_day"]
-    subjects = base.where(F.coalesce(F.col(anchor_text), F.lit("")) != "").select(
+    subjects = base.where(F.col(anchor_text).isNotNull() if lookup is not None else F.col(anchor_text) != "").select(
         *side, F.col(anchor_text).alias("_about")
     ).distinct()
     counts = [f"_n_{n}" for n in windows]
     recent = recent_texts(anchors, events, event_text, windows, ref_date, by)
 
     group = [*side, "_about"]
-    left = _with_tokens(subjects, "_about", granularity, "a")
-    right = _with_tokens(recent, "_text", granularity, "b")
+    about, text = "_about", "_text"
+    if lookup is not None:
+        *ids, key, name = lookup.columns
+        subjects = subjects.join(lookup.select(*ids, F.col(key).alias(about), F.col(name).alias("_name")), [*ids, about])
+        subjects = subjects.where(F.col("_name") != "")
+        recent = recent.join(lookup.select(*ids, F.col(key).alias(text), F.col(name).alias("_name")), [*ids, text])
+        recent = recent.where(F.col("_name").isNotNull())
+        about = text = "_name"
+    left = _with_tokens(subjects, about, granularity, "a").drop("_name")
+    right = _with_tokens(recent, text, granularity, "b").drop("_name")
     shared = left.join(right, [*side, "_token"])
     pairs = shared.groupBy(*group, "_text", "_sq_a", "_size_a", "_sq_b", "_size_b", *counts).agg(
         F.sum(F.col("_c_a") * F.col("_c_b")).alias("_dot"), F.count(F.lit(1)).alias("_shared")
@@ -139,7 +150,7 @@ def propensity_similarity(
     loss = F.struct(*zero, *[(-F.col(c)).alias(c) for c in counts])
     moved = pairs.select(*group, F.inline(F.array(gain, loss)))
     totals = recent.groupBy(*side).agg(*[F.sum(c).alias(c) for c in counts])
-    zeros = subjects.join(totals, side).select(*group, *zero, *counts)
+    zeros = subjects.drop("_name").join(totals, side).select(*group, *zero, *counts)
     weighted = (
         zeros.unionByName(moved)
         .groupBy(*group, "_cosine", "_jaccard")
@@ -163,15 +174,25 @@ def category_similarity(anchors: DataFrame, events: DataFrame, level: Level, act
 
 
 def category_similarity_by_action(
-    anchors: DataFrame, events: DataFrame, level: Level, actions: Sequence[str], windows: Sequence[int], **kw
+    anchors: DataFrame,
+    events: DataFrame,
+    level: Level,
+    actions: Sequence[str],
+    windows: Sequence[int],
+    names: DataFrame | None = None,
+    **kw,
 ) -> DataFrame:
-    """:func:`category_similarity` for several actions in one plan."""
+    """:func:`category_similarity` for several actions in one plan.
+
+    ``names`` (level keys, name) supplies the category names if the frames carry ids only.
+    """
     keys = ["user_id", *level.keys, "event_ts"]
     mine = events.where(F.col("event_type").isin(list(actions)))
-    asked = anchors.select(*keys, level.label).distinct().withColumn("event_type", F.explode(F.array(*[F.lit(a) for a in actions])))
+    text = level.label if names is None else level.id
+    asked = anchors.select(*dict.fromkeys([*keys, text])).distinct().withColumn("event_type", F.explode(F.array(*[F.lit(a) for a in actions])))
     subject = f"{level.name}_cat"
     long = propensity_similarity(
-        asked, mine, [*keys, "event_type"], level.label, level.label, subject, "any", windows, by=[*level.extra, "event_type"], **kw
+        asked, mine, [*keys, "event_type"], text, text, subject, "any", windows, by=[*level.extra, "event_type"], lookup=names, **kw
     )
     values = [c for c in long.columns if c not in (*keys, "event_type")]
     # one row per action and key
