@@ -21,13 +21,15 @@ def merge_maps(maps: Column) -> Column:
 
 
 def nested_events(columns: list[str], order_by: list[str]) -> Column:
-    """Aggregate rows into an array of structs in a fixed order."""
+    """Aggregate rows into an array of structs in a fixed order.
+
+    Only ``order_by`` is compared, so the columns may be maps or arrays.
+    """
+    rows = F.collect_list(
+        F.struct(F.struct(*[F.col(c) for c in order_by]).alias("_order"), F.struct(*[F.col(c) for c in columns]).alias("_row"))
+    )
     ordered = F.array_sort(
-        F.collect_list(
-            F.struct(
-                F.struct(*[F.col(c) for c in order_by]).alias("_order"),
-                F.struct(*[F.col(c) for c in columns]).alias("_row"),
-            )
-        )
+        rows,
+        lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0),
     )
     return F.transform(ordered, lambda s: s["_row"])

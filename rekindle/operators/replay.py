@@ -19,13 +19,12 @@ def _field(packed: Column, position: int) -> Column:
 
 def _amounts(packed: Column) -> Column:
     """item → amount; the last entry of an item wins."""
-    pairs = F.transform(
+    return F.transform(
         packed,
-        lambda s: F.struct(
-            F.split(_field(s, AMOUNT_ITEM_FIELD), r"\.")[0].alias("item"), _field(s, AMOUNT_VALUE_FIELD).alias("amount")
+        lambda s: F.named_struct(
+            F.lit("item"), F.split(_field(s, AMOUNT_ITEM_FIELD), r"\.")[0], F.lit("amount"), _field(s, AMOUNT_VALUE_FIELD)
         ),
     )
-    return pairs
 
 
 def _lookup(pairs: Column, item: Column) -> Column:

@@ -212,7 +212,7 @@ def user_timeline(t: Tables, config: Config, parity: bool = False) -> DataFrame:
     _bound(config)
     flat = timeline_events(t, config, parity)
     columns = [c for c in flat.columns if c != "user_id"]
-    age = -F.unix_micros("event_ts")
+    age = -F.unix_micros(F.col("event_ts").cast("timestamp"))
     return flat.withColumn("_age", age).groupBy("user_id").agg(
         nested_events(columns, ["_age", "event_type", "item_id"]).alias("events")
     )
@@ -225,6 +225,8 @@ def history_json(anchors: DataFrame, histories: dict[str, DataFrame]) -> DataFra
     """
     out = anchors
     for name, events in histories.items():
-        rows = F.array_sort(F.collect_list(F.struct("event_ts", *[c for c in events.columns if c not in ("event_ts", "user_id")])))
-        out = out.join(events.groupBy("user_id").agg(F.to_json(rows).alias(name)), "user_id")
+        columns = ["event_ts", *[c for c in events.columns if c not in ("event_ts", "user_id")]]
+        order = [c for c in ("event_ts", "event_type", "item_id") if c in columns]
+        packed = events.groupBy("user_id").agg(F.to_json(nested_events(columns, order)).alias(name))
+        out = out.join(packed, "user_id")
     return out
