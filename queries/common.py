@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,12 +63,6 @@ def sql_rounded(sql: str, columns: Sequence[str]) -> str:
     return f"SELECT * REPLACE ({cols}) FROM ({sql})"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rekindle-")
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 # ---- inputs -------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from rekindle.operators.attributes import item_attributes
 from rekindle.operators.labels import label_reinterest
 from rekindle.plans.features import FeatureGrid, counts_only, feature_matrix, level_names
 from rekindle.plans.training import prepare
+from rekindle.session import cut_lineage
 from rekindle.sources.supplied import Supplied
 
 MONTH_GRID = FeatureGrid(
@@ -23,7 +24,8 @@ MONTH_GRID = FeatureGrid(
 
 def flagship(t: Supplied) -> DataFrame:
     """All anchors at the reference date with every feature family and the re-interest label."""
-    matrix = feature_matrix(ref_anchors(t), t.actions(), MONTH_GRID, ref_date=REF, names=level_names(t.category_names()))
+    events, names = cut_lineage(t.actions()), cut_lineage(level_names(t.category_names()))
+    matrix = feature_matrix(cut_lineage(ref_anchors(t)), events, MONTH_GRID, ref_date=REF, names=names)
     return label_reinterest(matrix, t.views(), REF)
 
 
@@ -34,7 +36,8 @@ def _(t):
 
 @query("feature_matrix_many_days")
 def _(t):
-    return feature_matrix(click_anchors(t), t.actions(), MONTH_GRID, names=level_names(t.category_names()))
+    events, names = cut_lineage(t.actions()), cut_lineage(level_names(t.category_names()))
+    return feature_matrix(click_anchors(t), events, MONTH_GRID, names=names)
 
 
 def _count_grid_sql() -> str:

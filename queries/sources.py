@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from queries.common import (
-    ACTIONS, CATEGORIES, ITEMS, ORDER_LINES, REF, WITH_REF, query, ref_anchors, scratch, sql_hash, sql_rounded, sql_unit,
+    ACTIONS, CATEGORIES, ITEMS, ORDER_LINES, REF, WITH_REF, query, ref_anchors, sql_hash, sql_rounded, sql_unit,
 )
 from rekindle.levels import LEAF
 from rekindle.operators import filters as flt
 from rekindle.operators.activity import count_windows
 from rekindle.operators.joins import category_dimension
+from rekindle.session import shared_folder
 from rekindle.sources import catalog
 
 
@@ -24,13 +25,13 @@ def _(t):
 @query("a2_save_table", "SELECT o_custkey, COUNT(*) AS n_orders, ROUND(SUM(o_totalprice), 2) + 0.0 AS spent FROM orders GROUP BY o_custkey")
 def _(t):
     totals = t.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
-    path = scratch(t.spark)
+    path = shared_folder(t.spark)
     return catalog.save_table(totals, "customer_totals_" + path[-32:], path=path)
 
 
 @query("a3_parquet_sink", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders")
 def _(t):
-    return catalog.write_parquet(t.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"), scratch(t.spark), 5000)
+    return catalog.write_parquet(t.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"), shared_folder(t.spark), 5000)
 
 
 @query(
@@ -42,7 +43,7 @@ def _(t):
 )
 def _(t):
     matrix = count_windows(ref_anchors(t), t.actions(), LEAF, "view", [14], ref_date=REF)
-    path = scratch(t.spark)
+    path = shared_folder(t.spark)
     catalog.save_matrix(matrix, path)
     return catalog.load_matrix(t.spark, path)
 
@@ -59,7 +60,7 @@ def _(t):
     events = t.actions().select("event_id", "user_id", "item_id", "event_type")
     rows = ref_anchors(t).select("user_id", "leaf_id")
     _, mine = catalog.demo_extract(rows, events, t.items(), 0.3, 300, ["user_id", "leaf_id"])
-    return catalog.write_csv(mine.select("event_id", "user_id", "item_id", "event_type", "image_url"), scratch(t.spark))
+    return catalog.write_csv(mine.select("event_id", "user_id", "item_id", "event_type", "image_url"), shared_folder(t.spark))
 
 
 @query(

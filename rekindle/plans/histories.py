@@ -22,6 +22,7 @@ from rekindle.operators.filters import (
 from rekindle.operators.joins import category_enrich, exclude_returned, item_dimension
 from rekindle.operators.labels import select_cohort
 from rekindle.operators.topk import cohort_recent_topk, history_limit, recent_topk
+from rekindle.session import cut_lineage
 
 NAMED = ("item_id", "site_id", "leaf_id", "title", "leaf_name")
 CATEGORY_COLUMNS = ("leaf_name", "mid_id", "mid_name", "top_id", "top_name")
@@ -44,7 +45,8 @@ class Tables:
 
 
 def _recent(df: DataFrame, users: DataFrame, limit: int | None, config: Config, tie: Sequence[str], parity: bool) -> DataFrame:
-    return cohort_recent_topk(df, users, history_limit(limit, config.limits.max_events, parity), tie=tie)
+    """Recent events of the cohort, stored because the dimensions and the result both need them."""
+    return cut_lineage(cohort_recent_topk(df, users, history_limit(limit, config.limits.max_events, parity), tie=tie))
 
 
 def _with_item(df: DataFrame, t: Tables, config: Config, event_type: str) -> DataFrame:
@@ -177,10 +179,10 @@ def home_events(t: Tables, users: DataFrame, config: Config, parity: bool = Fals
 def timeline_events(t: Tables, config: Config, parity: bool = False) -> DataFrame:
     """All chosen histories of the cohort in one frame; columns an action lacks are null."""
     lim = config.limits
-    users = select_cohort(t.purchases, config)
+    users = cut_lineage(select_cohort(t.purchases, config))
     parts = []
     if lim.max_purchases != 0:
-        bought = purchase_history(t, users, config, parity)
+        bought = cut_lineage(purchase_history(t, users, config, parity))
         parts.append(bought)
         if config.filters.min_purchases > 0:
             users = bought.select("user_id").distinct()

@@ -1,9 +1,10 @@
-"""Session helpers: a local session for tests and benches, and lineage cutting."""
+"""A local session for tests and benches, and lineage cutting."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,28 @@ def local_session(cpus: int | str = 8, app: str = "rekindle", **conf: str) -> Sp
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """A new folder under ``spark.checkpoint.dir``, the place every executor can reach.
+
+    Where the setting is missing a temporary folder stands in, but only on one machine.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            return None
+        root = tempfile.mkdtemp(prefix="rekindle-")
+    return f"{root.rstrip('/')}/rekindle-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+    """Store a frame that several later steps use, and read it back.
 
-    Without that setting the frame is returned as it is: Spark then recomputes it
-    from its inputs, which is slower after an executor loss but never wrong.
+    A stored table survives the loss of executors, keeps column pruning and has known sizes.
+    Without a shared folder the frame is returned as it is: Spark then recomputes it, which
+    is slower but never wrong.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    path = shared_folder(df.sparkSession)
+    if path is None:
         return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
