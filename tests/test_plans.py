@@ -1,5 +1,7 @@
 """Matrix contents and plan shapes."""
 
+import contextlib
+import io
 import re
 
 import pytest
@@ -85,10 +87,12 @@ def test_count_grid_plan(spark, supplied):
 
 def test_date_range_reaches_the_scan(spark, supplied):
     spec = act.ActivitySpec(counts={"view": (7,)})
-    plan = act.level_activity(reference_anchors(supplied), supplied.actions(), LEAF, spec, "2024-01-20")._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.splitlines() if "PushedFilters" in line and "event_type,view" in line)
-    assert "GreaterThanOrEqual(ts,2024-01-13" in scan and "LessThan(ts,2024-01-20" in scan
-    assert "value" not in re.search(r"ReadSchema: (\S+)", scan).group(1)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        act.level_activity(reference_anchors(supplied), supplied.actions(), LEAF, spec, "2024-01-20").explain("formatted")
+    pushed, columns = next(m for m in re.findall(r"PushedFilters: (.*)\nReadSchema: (.*)", out.getvalue()) if "event_type,view" in m[0])
+    assert "GreaterThanOrEqual(ts,2024-01-13" in pushed and "LessThan(ts,2024-01-20" in pushed
+    assert "value" not in columns
 
 
 def test_events_are_combined_before_the_shuffle(spark, supplied):
