@@ -29,14 +29,18 @@ def similarity_name(stat: str, subject: str, action: str, measure: str, days: in
     return f"f_{stat}_{subject}_{action}_propensity_{measure}_sim_in_last_{days}_days"
 
 
-def _with_tokens(df: DataFrame, text: str, granularity: str, side: str) -> DataFrame:
-    """One row per distinct token of ``text`` with its count, the squared norm and set size."""
-    counted = df.withColumn("_t", token_counts(tokens(F.col(text), granularity)))
-    counted = counted.withColumn(f"_sq_{side}", squared_norm(F.col("_t"))).withColumn(f"_size_{side}", F.size("_t"))
-    exploded = counted.withColumn("_e", F.explode("_t"))
-    return exploded.select(
-        *df.columns, f"_sq_{side}", f"_size_{side}", F.col("_e.token").alias("_token"), F.col("_e.n").alias(f"_c_{side}")
-    )
+def _counted(df: DataFrame, text: str, granularity: str) -> DataFrame:
+    """Add the text's distinct tokens with counts as ``_t``."""
+    words = df.withColumn("_w", tokens(F.col(text), granularity))
+    return words.withColumn("_t", token_counts(F.col("_w"))).drop("_w")
+
+
+def _by_token(df: DataFrame, side: str) -> DataFrame:
+    """One row per distinct token of ``_t`` with its count, the squared norm and set size."""
+    kept = [c for c in df.columns if c != "_t"]
+    sized = df.withColumn(f"_sq_{side}", squared_norm(F.col("_t"))).withColumn(f"_size_{side}", F.size("_t"))
+    exploded = sized.select(*kept, f"_sq_{side}", f"_size_{side}", F.inline("_t"))
+    return exploded.withColumnsRenamed({"token": "_token", "n": f"_c_{side}"})
 
 
 def recent_texts(
@@ -128,16 +132,18 @@ def propensity_similarity(
     recent = recent_texts(anchors, events, event_text, windows, ref_date, by)
 
     group = [*side, "_about"]
-    about, text = "_about", "_text"
-    if lookup is not None:
+    if lookup is None:
+        left, right = _counted(subjects, "_about", granularity), _counted(recent, "_text", granularity)
+    else:
         *ids, key, name = lookup.columns
-        subjects = subjects.join(lookup.select(*ids, F.col(key).alias(about), F.col(name).alias("_name")), [*ids, about])
-        subjects = subjects.where(F.col("_name") != "")
-        recent = recent.join(lookup.select(*ids, F.col(key).alias(text), F.col(name).alias("_name")), [*ids, text])
-        recent = recent.where(F.col("_name").isNotNull())
-        about = text = "_name"
-    left = _with_tokens(subjects, about, granularity, "a").drop("_name")
-    right = _with_tokens(recent, text, granularity, "b").drop("_name")
+        known = _counted(lookup.where(F.col(name).isNotNull()), name, granularity)
+
+        def tokenised(rows: DataFrame, column: str, where=F.lit(True)) -> DataFrame:
+            return rows.join(known.where(where).select(*ids, F.col(key).alias(column), "_t"), [*ids, column])
+
+        left, right = tokenised(subjects, "_about", F.col(name) != ""), tokenised(recent, "_text")
+        subjects, recent = left.drop("_t"), right.drop("_t")
+    left, right = _by_token(left, "a"), _by_token(right, "b")
     shared = left.join(right, [*side, "_token"])
     pairs = shared.groupBy(*group, "_text", "_sq_a", "_size_a", "_sq_b", "_size_b", *counts).agg(
         F.sum(F.col("_c_a") * F.col("_c_b")).alias("_dot"), F.count(F.lit(1)).alias("_shared")
@@ -150,7 +156,7 @@ def propensity_similarity(
     loss = F.struct(*zero, *[(-F.col(c)).alias(c) for c in counts])
     moved = pairs.select(*group, F.inline(F.array(gain, loss)))
     totals = recent.groupBy(*side).agg(*[F.sum(c).alias(c) for c in counts])
-    zeros = subjects.drop("_name").join(totals, side).select(*group, *zero, *counts)
+    zeros = subjects.join(totals, side).select(*group, *zero, *counts)
     weighted = (
         zeros.unionByName(moved)
         .groupBy(*group, "_cosine", "_jaccard")
