@@ -353,7 +353,8 @@ def population_stats(counts: DataFrame, level: Level, columns: Sequence[str], ti
     """
     out = []
     for i, c in enumerate(columns):
-        n, s, q = f"sum({times})", f"sum({c} * {times})", f"sum({c} * {c} * {times})"
+        x = f"CAST({c} AS DOUBLE)"
+        n, s, q = f"sum({times})", f"sum({x} * {times})", f"sum({x} * {x} * {times})"
         out += [f"{s} / {n} AS _mean_{i}", f"CASE WHEN {n} > 1 THEN sqrt(greatest(({q} - {s} * {s} / {n}) / ({n} - 1), 0D)) END AS _dev_{i}"]
     return counts.where(F.col(level.id).isNotNull()).groupBy(*level.keys).agg(*[F.expr(e) for e in out])
 

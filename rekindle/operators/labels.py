@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rekindle.config import SPLIT_FRACTIONS, Config
@@ -27,8 +27,8 @@ def sample_anchors(purchases: DataFrame, config: Config) -> DataFrame:
 def label_repurchases(anchors: DataFrame, purchases: DataFrame, config: Config) -> DataFrame:
     """Count purchases of the anchor's leaf after the reference date up to the end date.
 
-    Purchases are reduced to daily counts; only those on the anchor's own day need their
-    time of day, and they join on that day.
+    Purchases are reduced to daily counts; only on an anchor's own day is the time of day
+    needed, and there purchases and anchors are put in order together instead of paired.
     """
     f, s = config.filters, config.sampling
     keys = ["user_id", "leaf_id"]
@@ -42,8 +42,13 @@ def label_repurchases(anchors: DataFrame, purchases: DataFrame, config: Config)
     after = days.join(per_day, keys).where(F.col("day") > F.col("anchor_day"))
     after = after.groupBy(*keys, "anchor_day").agg(F.sum("n").alias("_after"))
 
-    same = base.join(later.withColumnsRenamed({"day": "anchor_day", "event_ts": "bought_at"}), [*keys, "anchor_day"])
-    same = same.where(F.col("bought_at") > F.col("event_ts")).groupBy(*keys, "event_ts").agg(F.count(F.lit(1)).alias("_same"))
+    # one row per distinct time of day: the purchases at that time, and whether an anchor asks there
+    bought = later.select(*keys, F.col("day").alias("anchor_day"), "event_ts", F.lit(1).alias("n"), F.lit(0).alias("asked"))
+    asking = base.select(*keys, "anchor_day", "event_ts", F.lit(0).alias("n"), F.lit(1).alias("asked"))
+    at = bought.join(days, [*keys, "anchor_day"], "left_semi").unionByName(asking)
+    at = at.groupBy(*keys, "anchor_day", "event_ts").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    following = Window.partitionBy(*keys, "anchor_day").orderBy(F.col("event_ts").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    same = at.withColumn("_same", F.sum("n").over(following)).where(F.col("asked") == 1).select(*keys, "event_ts", "_same")
 
     joined = base.join(after, [*keys, "anchor_day"], "left").join(same, [*keys, "event_ts"], "left")
     total = F.coalesce("_after", F.lit(0)) + F.coalesce("_same", F.lit(0))

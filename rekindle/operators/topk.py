@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rekindle.functions.hashing import HASH_BITS, salt, stable_hash
 
 USER_SALTS = 16
+MANY_SALTS = 256
 
 
 def history_limit(per_action: int | None, overall: int | None, parity: bool = False) -> int | None:
@@ -20,45 +21,62 @@ def history_limit(per_action: int | None, overall: int | None, parity: bool = Fa
     return min(limits) - 1 if parity else min(limits)
 
 
-def recent_topk(
-    df: DataFrame,
-    k: int | None,
-    key: str = "user_id",
-    ts: str = "event_ts",
-    tie: Sequence[str] = (),
-    salted: bool = False,
-) -> DataFrame:
+def _latest(df: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column]) -> DataFrame:
+    """The first k rows per key. Spark keeps only k rows per key in every map task before it shuffles."""
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("_rn") <= k).drop("_rn")
+
+
+def _order(df: DataFrame, key: str, ts: str, tie: Sequence[str]) -> tuple[list[str], list[Column]]:
+    tie = list(tie) or [c for c in df.columns if c not in (key, ts)]
+    return tie, [F.col(ts).desc()] + [F.col(c).desc() for c in tie]
+
+
+def _salts(df: DataFrame, k: int) -> int:
+    """More salts where k is too large for Spark to cut rows before the shuffle."""
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    return USER_SALTS if k <= limit else MANY_SALTS
+
+
+def recent_topk(df: DataFrame, k: int | None, key: str = "user_id", ts: str = "event_ts", tie: Sequence[str] = ()) -> DataFrame:
     """The k latest rows per key.
 
     The first pass ranks within (key, salt), so a key that holds a third of the rows
-    is cut by many tasks; the second pass sees at most k rows per salt. ``salted``
-    says that ``_salt`` is on the frame already and the frame is partitioned by it.
+    is cut by many tasks; the second pass sees at most k rows per salt.
     """
     if k is None:
-        return df.drop("_salt") if salted else df
-    tie = list(tie) or [c for c in df.columns if c not in (key, ts, "_salt")]
-    order = [F.col(ts).desc()] + [F.col(c).desc() for c in tie]
-    if not salted:
-        df = df.withColumn("_salt", salt(USER_SALTS, ts, *tie))
-    partial = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order)))
-    partial = partial.where(F.col("_rn") <= k).drop("_rn", "_salt")
-    ranked = partial.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where(F.col("_rn") <= k).drop("_rn")
+        return df
+    tie, order = _order(df, key, ts, tie)
+    salted = df.withColumn("_salt", salt(_salts(df, k), ts, *tie))
+    return _latest(_latest(salted, [key, "_salt"], k, order).drop("_salt"), [key], k, order)
 
 
 def cohort_recent_topk(
-    events: DataFrame, users: DataFrame, k: int | None, ts: str = "event_ts", tie: Sequence[str] = ()
+    events: DataFrame,
+    users: DataFrame,
+    k: int | None,
+    ts: str = "event_ts",
+    tie: Sequence[str] = (),
+    broadcast_users: int = 2_000_000,
 ) -> DataFrame:
     """The k latest events of each cohort user.
 
-    Semi-join and first ranking pass share one shuffle on (user, salt).
+    A cohort of at most ``broadcast_users`` ids, counted first, is sent to the tasks and
+    filters the events where they are read. A larger one is joined after the first ranking
+    pass, in that pass's partitioning: the events move once, and of a hot user only k rows
+    per map task and salt.
     """
-    tie = list(tie) or [c for c in events.columns if c not in ("user_id", ts)]
-    salted = events.withColumn("_salt", salt(USER_SALTS, ts, *tie))
     cohort = users.select("user_id").distinct()
-    cohort = cohort.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(USER_SALTS - 1))))
-    kept = salted.join(cohort, ["user_id", "_salt"], "left_semi")
-    return recent_topk(kept, k, "user_id", ts, tie, salted=True)
+    if cohort.limit(broadcast_users + 1).count() <= broadcast_users:
+        return recent_topk(events.join(F.broadcast(cohort), "user_id", "left_semi"), k, "user_id", ts, tie)
+    if k is None:
+        return events.join(cohort, "user_id", "left_semi")
+    tie, order = _order(events, "user_id", ts, tie)
+    salts = _salts(events, k)
+    first = _latest(events.withColumn("_salt", salt(salts, ts, *tie)), ["user_id", "_salt"], k, order)
+    salted = cohort.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    kept = first.join(salted, ["user_id", "_salt"], "left_semi").drop("_salt")
+    return _latest(kept, ["user_id"], k, order)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -63,7 +63,11 @@ def test_topk_keeps_k_rows_of_a_hot_user(spark):
     cold = spark.range(3).select(F.lit(2).alias("user_id"), F.col("id").alias("item_id"), F.timestamp_seconds("id").alias("event_ts"))
     both = hot.unionByName(cold)
     want = both.orderBy(F.col("event_ts").desc(), F.col("item_id").desc()).where("user_id = 1").limit(50).select("item_id", "event_ts").collect()
-    for out in (topk.recent_topk(both, 50, tie=["item_id"]), topk.cohort_recent_topk(both, both, 50, tie=["item_id"])):
+    for out in (
+        topk.recent_topk(both, 50, tie=["item_id"]),
+        topk.cohort_recent_topk(both, both, 50, tie=["item_id"]),
+        topk.cohort_recent_topk(both, both, 50, tie=["item_id"], broadcast_users=1),
+    ):
         rows = out.collect()
         assert sorted((r.item_id, r.event_ts) for r in rows if r.user_id == 1) == sorted((r.item_id, r.event_ts) for r in want)
         assert sum(r.user_id == 2 for r in rows) == 3
