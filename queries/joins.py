@@ -3,14 +3,17 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from queries import features as ft
 from queries.common import (
-    ACTIONS, AGE, CATEGORIES, CONFIG, ITEMS, ORDER_LINES, REF, WINDOWS, WITH_CLICKS, WITH_REF, click_anchors, query, ref_anchors, sql_rounded,
+    ACTIONS, AGE, CATEGORIES, CONFIG, ITEMS, ORDER_LINES, REF, WINDOWS, WITH_CLICKS, WITH_REF, NAMES, click_anchors, keyed_anchors, query, ref_anchors, sql_rounded,
 )
 from rekindle.levels import LEAF, MID
 from rekindle.operators import activity as act
+from rekindle.operators import intervals as gaps
 from rekindle.operators import joins as jn
 from rekindle.operators.attributes import item_attributes
 from rekindle.operators.labels import label_reinterest
+from rekindle.operators.similarity import MEASURES, STATS, similarity_name
 from rekindle.plans.features import FeatureGrid, counts_only, feature_matrix, level_names
 from rekindle.plans.training import prepare
 from rekindle.session import cut_lineage
@@ -29,12 +32,86 @@ def flagship(t: Supplied) -> DataFrame:
     return label_reinterest(matrix, t.views(), REF)
 
 
-@query("feature_matrix")
+def _matrix_sql(prelude: str, labelled: bool = True) -> str:
+    """Every family of the grid by plain joins, side by side per level."""
+    g = MONTH_GRID
+    ctes, joins, cols, doubles = [], [], [], []
+    swap = (("'view'", "'purchase'"), ("f_num_views", "f_num_purchases"), ("f_entropy_for_views", "f_entropy_for_purchases"))
+
+    def of(action: str, text: str) -> str:
+        for a, b in swap if action == "purchase" else ():
+            text = text.replace(a, b)
+        return text
+
+    for a in g.actions:
+        ctes.append(f"tot_{a} AS (SELECT * FROM {of(a, ft.TOTALS)})")
+        joins.append(f"JOIN tot_{a} ON tot_{a}.user_id = a.user_id AND tot_{a}.event_ts = a.event_ts")
+    for lv in g.levels:
+        def family(name: str, template: str, lv=lv) -> str:
+            alias = f"{name}_{lv.name}"
+            ctes.append(f"{alias} AS (SELECT * FROM ({template.replace('{L}', lv.name).replace('{K}', keyed_anchors(lv.name))}))")
+            joins.append(f"JOIN {alias} ON {alias}.user_id = a.user_id AND {alias}.category_id = a.{lv.id} AND {alias}.event_ts = a.event_ts")
+            return alias
+
+        def add(expr: str, name: str, double: bool = False) -> None:
+            cols.append(f"{expr} AS {name}")
+            if double:
+                doubles.append(name)
+
+        scores = ", ".join(
+            f"CASE WHEN STDDEV_SAMP(f_num_{a}s_from_in_last_{n}_days) OVER w > 0 THEN (f_num_{a}s_from_in_last_{n}_days - AVG(f_num_{a}s_from_in_last_{n}_days) OVER w)"
+            f" / STDDEV_SAMP(f_num_{a}s_from_in_last_{n}_days) OVER w ELSE 0.0 END AS z_{a}_{n}" for a in g.actions for n in g.zscore_windows
+        )
+        c = family("cnt", f"SELECT *, {scores} FROM ({ft._counts_sql(g.count_windows, g.actions)}) WINDOW w AS (PARTITION BY category_id)")
+
+        def num(a: str, n: int, c=c) -> str:
+            return f"{c}.f_num_{a}s_from_in_last_{n}_days"
+
+        r = family("rec", f"{ft.HEAD}, {ft.LAST} FROM {ft.JOINED} {ft.TAIL}")
+        m = family("amt", f"{ft.HEAD}, {ft.AMOUNTS} FROM {ft.JOINED} {ft.TAIL}")
+        for a in g.actions:
+            for n in g.count_windows:
+                add(num(a, n), act.count_name(a, lv, n))
+                add(f"CASE WHEN tot_{a}.t{n} > 0 THEN ROUND({num(a, n)} / tot_{a}.t{n}, 5) ELSE -1.0 END", act.norm_name(a, lv, n), True)
+            for n in g.zscore_windows:
+                add(f"{c}.z_{a}_{n}", act.zscore_name(a, lv, n), True)
+            add(" + ".join(f"{w}::DOUBLE * {num(a, n)}" for n, w in zip(g.weight_windows, g.weights)), act.weighted_name(a, lv), True)
+            add(f"{r}.f_time_since_last_{a}_from", act.recency_name(a, lv))
+            e = family(f"ent_{a}", of(a, ft.ENTROPY.replace("SCOPE", ft.ANCHOR_SCOPE.replace("{A}", "{K}"))))
+            add(f"{e}.f_entropy_for_{a}s", f"f_entropy_for_{lv.name}_cat_{a}s", True)
+            pool = f"SELECT DISTINCT a.user_id, a.{lv.id}, a.event_ts, n.{lv.label} FROM anchors a JOIN names n USING (leaf_id)"
+            sims = ft.similarity_sql(lv, a, g.similarity_windows, "word", lv.label, lv.label, ("user_id", lv.id, "event_ts"), f"{lv.name}_cat", f"{prelude}, {NAMES}, {ft.NAMED}", pool)
+            s = family(f"sim_{a}", f"SELECT * EXCLUDE ({lv.id}), {lv.id} AS category_id FROM ({sims})")
+            for n in g.similarity_windows:
+                for x in MEASURES:
+                    for st in STATS:
+                        name = similarity_name(st, f"{lv.name}_cat", a, x, n)
+                        add(f"{s}.{name}", name, True)
+        for x, y in g.ratios:
+            for n in g.ratio_windows:
+                add(f"CASE WHEN {num(y, n)} = 0 THEN -1.0 ELSE {num(x, n)} / {num(y, n)} END", act.ratio_name(x, y, lv, n), True)
+        for n in g.amount_windows:
+            for st in ("sum", "mean", "max", "min", "var"):
+                add(f"{m}.f_{st}_amount_from_in_last_{n}_days", act.amount_name(st, lv, n), True)
+        for alias, template, named in (
+            ("fv", ft.FIRST_VIEW, gaps.first_view_fills(lv)), ("btw", ft.BETWEEN, gaps.between_fills(lv)), ("snc", ft.SINCE, gaps.since_fills(lv)),
+        ):
+            i = family(alias, template)
+            for name, fill in named.items():
+                add(f"{i}.{name.removesuffix(f'_{lv.name}_cat')}", name, isinstance(fill, float))
+    label = f"""CASE WHEN EXISTS (SELECT 1 FROM actions e WHERE e.user_id = a.user_id AND e.leaf_id = a.leaf_id
+      AND e.event_type = 'view' AND e.event_ts > TIMESTAMP '{REF}') THEN 1 ELSE 0 END AS reinterest_label"""
+    cols += [label] if labelled else []
+    head = f"{prelude}, " + ", ".join(ctes)
+    return sql_rounded(f"{head} SELECT a.user_id, a.leaf_id, a.mid_id, a.top_id, a.event_ts, {', '.join(cols)} FROM anchors a {' '.join(joins)}", doubles)
+
+
+@query("feature_matrix", _matrix_sql(WITH_REF))
 def _(t):
     return flagship(t)
 
 
-@query("feature_matrix_many_days")
+@query("feature_matrix_many_days", _matrix_sql(WITH_CLICKS, labelled=False))
 def _(t):
     events, names = cut_lineage(t.actions()), cut_lineage(level_names(t.category_names()))
     return feature_matrix(click_anchors(t), events, MONTH_GRID, names=names)
