@@ -177,6 +177,8 @@ ENTROPY = """SELECT a.user_id, a.{L}_id AS category_id, a.event_ts, '{L}' AS lev
       SELECT user_id, n / SUM(n) OVER (PARTITION BY user_id) AS p FROM (SCOPE)) GROUP BY user_id) h USING (user_id)"""
 ANCHOR_SCOPE = f"""SELECT e.user_id, e.{{L}}_id, COUNT(*) AS n FROM {{A}} a JOIN actions e ON e.user_id = a.user_id AND e.{{L}}_id = a.{{L}}_id
   AND e.event_type = 'view' AND {AGE} >= 1 GROUP BY ALL"""
+# an event before several anchors of its category counts once
+ONCE_SCOPE = ANCHOR_SCOPE.replace("COUNT(*)", "COUNT(DISTINCT e.event_id)")
 ALL_SCOPE = f"""SELECT e.user_id, e.{{L}}_id, COUNT(*) AS n FROM (SELECT user_id, MAX(event_ts) AS event_ts FROM anchors GROUP BY 1) a
   JOIN actions e ON e.user_id = a.user_id AND e.event_type = 'view' AND {AGE} >= 1 GROUP BY ALL"""
 
@@ -195,6 +197,16 @@ def _(t):
     return _entropy(t, repeat_anchor_rows=True)
 
 
+@query("g8_category_entropy_many_days", levels_sql(ENTROPY.replace("SCOPE", ONCE_SCOPE.replace("{A}", "{K}")), WITH_CLICKS))
+def _(t):
+    return per_level(lambda lv: entropy.category_entropy(click_anchors(t), t.actions(), lv, "view"))
+
+
+@query("g8_category_entropy_many_days_repeated_rows", levels_sql(ENTROPY.replace("SCOPE", ANCHOR_SCOPE.replace("{A}", "anchors")), WITH_CLICKS))
+def _(t):
+    return per_level(lambda lv: entropy.category_entropy(click_anchors(t), t.actions(), lv, "view", repeat_anchor_rows=True))
+
+
 @query("g8_category_entropy_all_categories", levels_sql(ENTROPY.replace("SCOPE", ALL_SCOPE), WITH_REF))
 def _(t):
     return _entropy(t, scope="all")
