@@ -2,7 +2,8 @@
 
 Nothing here gathers a whole feature in one task. Values are first reduced to distinct
 values with counts; approximate quantiles then only choose where to cut the value range
-into buckets, and exact counts decide everything else.
+into buckets, and exact counts decide everything else. The distinct values are stored
+once, because borders, bucket sums and ranks all read them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rekindle.session import cut_lineage
+
 
 def unpivot_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Wide matrix to rows (keep…, feature, value)."""
@@ -34,16 +37,9 @@ def _with_bucket(counts: DataFrame, by: Sequence[str], value: str, shares: Seque
     else:  # a single row
         keyed, cuts = ["_all"], counts.agg(cut).withColumn("_all", F.lit(0))
         counts = counts.withColumn("_all", F.lit(0))
-    # every eighth cut first, then the cuts in between: few comparisons per row
-    step = 8
-
-    def below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda c: c < F.col(value)))
-
-    coarse = F.filter("_cuts", lambda c, i: (i + 1) % step == 0)
-    joined = counts.join(cuts.withColumn("_coarse", coarse), keyed).withColumn("_c", below(F.col("_coarse")))
-    fine = below(F.slice("_cuts", F.col("_c") * step + 1, F.lit(step)))
-    return joined.withColumn("_bucket", F.col("_c") * step + fine).drop("_cuts", "_coarse", "_c")
+    # plain comparisons, one per cut, stay in generated code
+    below = " + ".join(f"CAST(_cuts[{i}] < {value} AS INT)" for i in range(len(shares)))
+    return counts.join(cuts, keyed).withColumn("_bucket", F.expr(below)).drop("_cuts")
 
 
 def running_totals(
@@ -55,7 +51,7 @@ def running_totals(
     per group, supply the offsets.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    rows = _with_bucket(counts, by, value, shares)
+    rows = _with_bucket(cut_lineage(counts), by, value, shares)
     keyed = list(by) or ["_all"]
     first, then = (F.col("_bucket").desc(), F.col(value).desc()) if descending else (F.col("_bucket"), F.col(value))
     sums = rows.groupBy(*keyed, "_bucket").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
@@ -74,7 +70,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], shares: Sequence[float], v
     tell which bucket holds each wanted rank, and only those buckets are ranked.
     """
     by = list(by)
-    counts = value_counts(df, by, value)
+    counts = cut_lineage(value_counts(df, by, value))
     around = sorted({min(max(p + d, 0.0), 1.0) for p in shares for d in (-margin, margin)})
     rows = _with_bucket(counts, by, value, around)
     keyed = by or ["_all"]
