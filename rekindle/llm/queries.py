@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rekindle.llm import mixing, simhash, urlfilter, warc
+from rekindle.llm import decontam, linededup, mixing, quality, simhash, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +32,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query("op1_simhash_near_dedup")
 def op1(spark, folder):
-    return simhash.near_duplicates(table(spark, folder, "documents"))
+    return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query(
+    "op2_line_dedup",
+    """WITH l AS (SELECT doc_id, lines, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, pos, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS win FROM l),
+c AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM w WHERE win IS NOT NULL),
+g AS (SELECT l.doc_id, l.pos, l.line, max(coalesce(a.nth, 1)) > 1 OR max(coalesce(b.nth, 1)) > 1 AS gone
+    FROM l LEFT JOIN c a ON a.doc_id = l.doc_id AND a.pos = l.pos LEFT JOIN c b ON b.doc_id = l.doc_id AND b.pos = l.pos - 1 GROUP BY ALL),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM g)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_runs,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL""",
+)
+def op2(spark, folder):
+    out = linededup.remove_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op3_quality_rules")
+def op3(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(documents, table(spark, folder, "labels"))
+    return quality.judge(documents, model).select("doc_id", *quality.MADE)
+
+
+@query(
+    "op6_benchmark_decontamination",
+    r"""WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+bp AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b WHERE len(w) > 0),
+dp AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM bp),
+ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM dp) WHERE s IN (SELECT s FROM bs)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment FROM p JOIN n USING (item_id) WHERE n_shared / n_shingles >= 0.8::DOUBLE""",
+)
+def op6(spark, folder):
+    return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 #: Record text of a page, and whether the second replica has it damaged.

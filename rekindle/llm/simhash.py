@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rekindle.llm.components import components
@@ -38,15 +38,20 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_key() -> Column:
+    """Tells apart rows of one id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp) of every row of `docs` (doc_id, text); fp is the fingerprint's bits as a signed long."""
+    """(doc_id, text_key, fp) of every row of `docs` (doc_id, text): the text's hash and the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 @lru_cache
@@ -125,17 +130,28 @@ def links(fps: DataFrame, radius: int = RADIUS, per_bucket: int = PER_BUCKET) ->
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """Every row of `docs` (doc_id, text) with its fingerprint and the smallest doc_id of its component.
+    """(doc_id, text_key, fingerprint, component_id, is_first) of every row of `docs` (doc_id, text).
 
-    Fingerprints link at `radius` or fewer differing bits and components follow links. Null, empty and blank texts have fingerprint zero and link like
-    any other. Rows with a null id take part; a component of null ids only has a null component_id. Equal rows stay as they are.
+    Fingerprints link at `radius` or fewer differing bits and components follow links; component_id is the smallest doc_id of the component. is_first
+    marks the row with that id (and the smallest text_key, should several texts have it). Null, empty and blank texts have fingerprint zero and link
+    like any other. Rows with a null id take part and come last; a component of null ids only has a null component_id. Equal rows are marked alike.
     Copies share a fingerprint, so the ball search and the components see each fingerprint once.
     """
     own = cut(fingerprints(docs, width))
     label = components(links(own.select("fp").distinct(), radius))
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    least = own.groupBy("fp").agg(F.min(place).alias("least"))
     tied = least.join(label, least.fp == label.node, "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
-    smallest = tied.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = tied.join(smallest, "label").select(F.col("fp").alias("_fp"), "component_id")
+    smallest = tied.groupBy("label").agg(F.min("least").alias("first"))
+    by_fp = tied.join(smallest, "label").select(F.col("fp").alias("_fp"), "first")
     out = own.join(by_fp, F.col("fp") == F.col("_fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return out.select("doc_id", "text_key", text, F.col("first.doc_id").alias("component_id"), place.eqNullSafe(F.col("first")).alias("is_first"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """The first row of each component of `docs` (doc_id, text, any others); of equal rows one stays."""
+    first = near_duplicates(docs, width, radius).where("is_first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_own_key", text_key())
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_own_key"]).select(*docs.columns)
