@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
     before, after, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum("source_size").over(everything) * F.lit(share)
     found = ranked.withColumn("level", (total - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    found = found.withColumn("shared", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
+    found = found.withColumn("shared", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
     target = F.when(F.col("shared").isNull() | (F.col("full_at") < F.col("shared")), F.col("ceiling")).otherwise(F.col("weight") * F.col("shared"))
     return found.select("source", "source_size", target.alias("target"))
 

@@ -104,7 +104,7 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 f AS (SELECT *, source_size * 2.0::DOUBLE AS ceiling, source_size * 2.0::DOUBLE / weight AS full_at FROM w),
 v AS (SELECT *, ((SELECT sum(source_size) FROM f) * 1.5::DOUBLE - coalesce(sum(ceiling) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-t AS (SELECT source, source_size, CASE WHEN full_at < (SELECT min(level) FROM v WHERE level <= full_at) THEN ceiling ELSE weight * (SELECT min(level) FROM v WHERE level <= full_at) END AS target FROM v),
+t AS (SELECT source, source_size, CASE WHEN full_at < (SELECT max(level) FROM v WHERE level <= full_at) THEN ceiling ELSE weight * (SELECT max(level) FROM v WHERE level <= full_at) END AS target FROM v),
 r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     CAST('0x' || substr(md5('mix:' || d.doc_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
