@@ -17,8 +17,10 @@ from rekindle.llm.store import cut
 
 WIDTH = 4
 RADIUS = 4
-#: Fingerprints that a bucket should hold on average; more buckets are used for more fingerprints.
-PER_BUCKET = 20_000
+#: Bits of a variant that are its shuffle key.
+PREFIX = 16
+#: Rows of whole buckets that are taken together at least.
+CHUNK = 20_000
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -60,31 +62,31 @@ def _flips(bits: int, most: int) -> tuple[np.ndarray, ...]:
     return tuple(np.array([sum(1 << b for b in c) for c in combinations(range(bits), k)], np.uint64) for k in range(most + 1))
 
 
-def _meet(fp: np.ndarray, bucket: int, prefix: int, half: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints of a bucket, as (fingerprint, smallest fingerprint linked with it here).
+def _meet(bucket: np.ndarray, fp: np.ndarray, prefix: int, half: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the fingerprints of whole buckets, as (fingerprint, smallest fingerprint linked with it here).
 
-    Every fingerprint emits the variants within `half` bits that begin with the bucket's prefix. Fingerprints that share a variant
+    In each of its buckets a fingerprint emits the variants within `half` bits that begin with the bucket's prefix. Fingerprints that share a variant
     are tied to the first of them (all of these are within 2 * half bits of each other), each tie is verified, and ties are
-    followed within the bucket, so what leaves is one row for each fingerprint at most, however many copies meet.
+    followed within the buckets, so what leaves is one row for each fingerprint at most, however many copies meet.
     """
-    rest = 64 - prefix
-    fp = np.unique(fp)
-    spent = np.bitwise_count((fp >> np.uint64(rest)) ^ np.uint64(bucket))
-    low = fp & np.uint64((1 << rest) - 1)
+    rest = np.uint64(64 - prefix)
+    found, owner = np.unique(fp, return_inverse=True)
+    spent = np.bitwise_count((fp >> rest) ^ bucket)
+    start = (bucket << rest) | (fp & np.uint64((1 << int(rest)) - 1))
     variants, owners = [], []
     for used in range(half + 1):
         own = np.flatnonzero(spent == used)
-        for masks in _flips(rest, half - used):
-            variants.append((low[own][:, None] ^ masks[None, :]).ravel())
-            owners.append(np.repeat(own, len(masks)))
+        for masks in _flips(int(rest), half - used):
+            variants.append((start[own][:, None] ^ masks[None, :]).ravel())
+            owners.append(np.repeat(owner[own], len(masks)))
     v, o = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(v, kind="stable")
     v, o = v[order], o[order]
     new = np.concatenate(([True], v[1:] != v[:-1]))
     first = o[np.flatnonzero(new)][np.cumsum(new) - 1]
     tie = np.unique(np.stack([o, first])[:, o != first], axis=1) if (o != first).any() else np.zeros((2, 0), np.int64)
-    tie = tie[:, np.bitwise_count(fp[tie[0]] ^ fp[tie[1]]) <= radius]
-    label = np.arange(len(fp))
+    tie = tie[:, np.bitwise_count(found[tie[0]] ^ found[tie[1]]) <= radius]
+    label = np.arange(len(found))
     while True:
         least = np.minimum(label[tie[0]], label[tie[1]])
         after = label.copy()
@@ -94,23 +96,19 @@ def _meet(fp: np.ndarray, bucket: int, prefix: int, half: int, radius: int) -> t
         if (after == label).all():
             break
         label = after
-    moved = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[moved], fp[label[moved]]
+    moved = np.flatnonzero(label != np.arange(len(found)))
+    return found[moved], found[label[moved]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, per_bucket: int = PER_BUCKET) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, prefix: int = PREFIX) -> DataFrame:
     """Links (a, b) that connect just those of the distinct fingerprints `fps` (fp) that chains of at most `radius` bits connect.
 
-    Fingerprints within `radius` bits share a variant within half of it (rounded up) of both. The shuffle key is the
-    variant's prefix: a fingerprint goes once to each prefix within half the radius, and spends there what is left of the half on the other bits.
-    So all variants are emitted, but as few rows move as there are prefixes. The prefix grows with the number of fingerprints, which keeps
-    buckets at about `per_bucket` rows.
+    Fingerprints within `radius` bits share a variant within half of it (rounded up) of both. Variants are shuffled by their first `prefix` bits: a
+    fingerprint goes once to each prefix within half the radius, and emits there the variants that begin so. So
+    all variants meet, but only as many rows move as there are prefixes in the ball. A bucket should fit a task: with n fingerprints it holds
+    about n / 480 for 16 bits, n / 32,000 for 24.
     """
     half = (radius + 1) // 2
-    count = fps.count()
-    prefix = 4
-    while prefix < 32 and count * sum(len(x) for x in _flips(prefix, half)) > per_bucket << prefix:
-        prefix += 1
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = np.concatenate(_flips(prefix, half))
@@ -120,13 +118,24 @@ def links(fps: DataFrame, radius: int = RADIUS, per_bucket: int = PER_BUCKET) ->
                 bucket = (fp.view(np.uint64) >> np.uint64(64 - prefix))[:, None] ^ masks[None, :]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().astype(np.int64)), pa.array(np.repeat(fp, len(masks)))], names=["bucket", "fp"])
 
-    def meet(key, table):
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        a, b = _meet(fp, key[0].as_py(), prefix, half, radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def tied(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = _meet(bucket.view(np.uint64), fp.view(np.uint64), prefix, half, radius)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    buckets = fps.select("fp").mapInArrow(spread, "bucket long, fp long")
-    return buckets.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            bucket = np.concatenate([bucket, batch.column(0).to_numpy()])
+            fp = np.concatenate([fp, batch.column(1).to_numpy()])
+            whole = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            if whole >= CHUNK:
+                yield tied(bucket[:whole], fp[:whole])
+                bucket, fp = bucket[whole:], fp[whole:]
+        if len(fp):
+            yield tied(bucket, fp)
+
+    buckets = fps.select("fp").mapInArrow(spread, "bucket long, fp long").repartition("bucket").sortWithinPartitions("bucket")
+    return buckets.mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
