@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rekindle.llm import decontam, linededup, mixing, quality, simhash, urlfilter, warc
+from rekindle.llm import decontam, linededup, mixing, quality, simhash, substring, suffixdedup, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,12 @@ def op3(spark, folder):
     return quality.judge(documents, model).select("doc_id", *quality.MADE)
 
 
+@query("op4_suffix_array_dedup")
+def op4(spark, folder):
+    out = suffixdedup.remove_repeated_bytes(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query(
     "op6_benchmark_decontamination",
     r"""WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
@@ -129,3 +135,9 @@ SELECT x.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.r
 def op9(spark, folder):
     judged = urlfilter.apply_rules(table(spark, folder, "pages").select("page_id", "url"), urlfilter.rule_table(spark, RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_substring_dedup")
+def op10(spark, folder):
+    out = substring.remove_repeated_words(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
