@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rekindle.llm import decontam, linededup, mixing, quality, simhash, substring, suffixdedup, urlfilter, warc
+from rekindle.llm import decontam, hpylm, linededup, mixing, quality, simhash, substring, suffixdedup, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,12 @@ def op4(spark, folder):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query("op5_hpylm_scores")
+def op5(spark, folder):
+    out = hpylm.scores(table(spark, folder, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query(
     "op6_benchmark_decontamination",
     r"""WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
