@@ -47,7 +47,7 @@ def _(t):
 
 
 
-def _rows(t, limit=100_000):
+def _rows(t, limit=None):
     rows = replay_anchors(sample_impressions(t.rec_log(), t.items(), 8, "19980101", "19991231", 1.0, limit), t.categories())
     return rows.withColumn("pred", (F.col("rank") <= 2).cast("int"))
 

@@ -20,12 +20,12 @@ class Filters:
 class EventLimits:
     """Most recent events kept per user; ``None`` keeps all of them, 0 skips the action."""
 
-    max_purchases: int | None = 1000
-    max_views: int | None = 1000
-    max_searches: int | None = 1000
-    max_watches: int | None = 1000
-    max_home_events: int | None = 1000
-    max_events: int | None = 1000
+    max_purchases: int | None = None
+    max_views: int | None = None
+    max_searches: int | None = None
+    max_watches: int | None = None
+    max_home_events: int | None = None
+    max_events: int | None = None
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class Sampling:
 
     ref_date: str
     fraction: float = 0.1
-    max_samples: int | None = 100_000
+    max_samples: int | None = None
     seed: int = 42
 
 

@@ -6,6 +6,8 @@ function says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _total(values: Column, f=lambda v: v) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + f(v.cast("double")))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row, not once per element inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shannon_entropy(proportions: Column) -> Column:
     """Entropy in bits, rounded to 4 places; -1 for a null or empty array."""
     bits = _total(_present(proportions), lambda p: F.when(p > 0, p * F.log2(p)).otherwise(0.0))
@@ -33,8 +40,8 @@ def array_mean(values: Column) -> Column:
 def array_var(values: Column) -> Column:
     """Population variance."""
     kept = _present(values)
-    mean = array_mean(values)
-    return F.when(F.size(kept) > 0, _total(kept, lambda v: (v - mean) * (v - mean)) / F.size(kept))
+    squares = _bound(array_mean(values), lambda mean: _total(kept, lambda v: (v - mean) * (v - mean)))
+    return F.when(F.size(kept) > 0, squares / F.size(kept))
 
 
 def array_percentile(values: Column, percent: float) -> Column:
@@ -55,9 +62,9 @@ def array_percentile(values: Column, percent: float) -> Column:
 
 def l2_normalise(values: Column) -> Column:
     """Vector divided by its Euclidean norm; a zero vector gives NaN elements."""
-    norm = F.sqrt(_total(values, lambda v: v * v))
-    scaled = F.transform(
-        values, lambda v: F.when(norm > 0, v.cast("double") / norm).otherwise(F.lit(float("nan")))
+    scaled = _bound(
+        F.sqrt(_total(values, lambda v: v * v)),
+        lambda norm: F.transform(values, lambda v: F.when(norm > 0, v.cast("double") / norm).otherwise(F.lit(float("nan")))),
     )
     return F.when(F.size(values) > 0, scaled)
 

@@ -40,7 +40,15 @@ def squared_norm(counts: Column) -> Column:
 
 
 def cosine_counts(left: Column, right: Column) -> Column:
-    """Cosine of two token-count vectors; 0 when one of them has no tokens."""
+    """Cosine of two token-count vectors; 0 when one of them has no tokens.
+
+    Both token arrays are bound first, so they are made once per row.
+    """
+    pair = F.array(F.struct(left.alias("left"), right.alias("right")))
+    return F.get(F.transform(pair, lambda p: _cosine(p["left"], p["right"])), F.lit(0))
+
+
+def _cosine(left: Column, right: Column) -> Column:
     dot = F.aggregate(
         F.array_intersect(left, right),
         F.lit(0).cast("bigint"),

@@ -57,18 +57,13 @@ def cohort_recent_topk(
     k: int | None,
     ts: str = "event_ts",
     tie: Sequence[str] = (),
-    broadcast_users: int = 2_000_000,
 ) -> DataFrame:
     """The k latest events of each cohort user.
 
-    A cohort of at most ``broadcast_users`` ids, counted first, is sent to the tasks and
-    filters the events where they are read. A larger one is joined after the first ranking
-    pass, in that pass's partitioning: the events move once, and of a hot user only k rows
-    per map task and salt.
+    The cohort is joined after the first ranking pass, in that pass's partitioning: the events
+    move once, and of a hot user only k rows per map task and salt.
     """
     cohort = users.select("user_id").distinct()
-    if cohort.limit(broadcast_users + 1).count() <= broadcast_users:
-        return recent_topk(events.join(F.broadcast(cohort), "user_id", "left_semi"), k, "user_id", ts, tie)
     if k is None:
         return events.join(cohort, "user_id", "left_semi")
     tie, order = _order(events, "user_id", ts, tie)

@@ -14,7 +14,7 @@ from rekindle.operators.topk import take_by_hash
 
 def sample_impressions(
     log: DataFrame, items: DataFrame, placement: int, start: str, end: str,
-    fraction: float = 0.1, limit: int | None = 100_000, key: str = "impression_id", site_ids=(0,), seed: int = 42,
+    fraction: float = 0.1, limit: int | None = None, key: str = "impression_id", site_ids=(0,), seed: int = 42,
 ) -> DataFrame:
     """Sampled impressions as one row per shown item with its leaf category."""
     kept = clicked_impressions(log, placement, start, end, site_ids)

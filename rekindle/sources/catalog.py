@@ -59,8 +59,8 @@ def demo_extract(
     rows: DataFrame,
     events: DataFrame,
     items: DataFrame,
-    fraction: float = 0.05,
-    limit: int = 1000,
+    fraction: float,
+    limit: int,
     keys: Sequence[str] = ("user_id", "leaf_id", "event_ts"),
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
@@ -76,6 +76,3 @@ def user_subset(frame: DataFrame, users: int, seed: int = 42) -> DataFrame:
     chosen = take_by_hash(frame.select("user_id").distinct(), ["user_id"], users, seed=seed)
     return frame.join(chosen, "user_id", "left_semi")
 
-
-def count_rows(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"))

@@ -66,7 +66,6 @@ def test_topk_keeps_k_rows_of_a_hot_user(spark):
     for out in (
         topk.recent_topk(both, 50, tie=["item_id"]),
         topk.cohort_recent_topk(both, both, 50, tie=["item_id"]),
-        topk.cohort_recent_topk(both, both, 50, tie=["item_id"], broadcast_users=1),
     ):
         rows = out.collect()
         assert sorted((r.item_id, r.event_ts) for r in rows if r.user_id == 1) == sorted((r.item_id, r.event_ts) for r in want)
