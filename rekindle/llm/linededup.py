@@ -47,10 +47,10 @@ def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
     longest common prefix has at least `depth` lines. Lines are named by rank first; then each round doubles the compared length by ranking pairs of
     ranks (k lines and the k lines behind them). The last round overlaps where `depth` is no power of two.
     """
-    lines = _keyed(docs.where(F.col("text").isNotNull())).select(*KEY, "text").distinct()
-    lines = lines.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    # 128 bits name a line's content until ranks do.
-    rows = _ranked(lines.select(*KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")), ["h1", "h2"])
+    lines = _keyed(docs.where(F.col("text").isNotNull())).select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # 128 bits name a line's content until ranks do, so no text is shuffled; equal rows become one document here.
+    named = lines.select(*KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).distinct()
+    rows = _ranked(named, ["h1", "h2"])
     k = 1
     while k < depth:
         step = min(k, depth - k)
