@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Labelled documents that the field is fitted on at most, taken in the order of their ids' hash.
 MAX_LABELLED = 2_000
+#: Lines of a chain in fitting; longer documents are fitted as several chains, so that no long one pads all others.
+CHAIN = 256
 #: Share of a document's words that must stand in content lines.
 MIN_CONTENT = 0.5
 MIN_WORDS = 50
@@ -132,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     Every line of a document of quality 1 counts as content and every line of one of quality 0 as boilerplate; as plain lines are far more
     frequent in good documents, those in bad ones come out as content all the same. Labels that are null, neither 0 nor 1, or in conflict
-    are not used; a text is used once. Without usable labels all weights are zero and every document is content.
+    are not used; a text is used once, whole, in chains of at most CHAIN lines. Without usable labels all weights are zero and every document is content.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     picked = usable.where(F.col("quality") == F.col("most")).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -145,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     sample = texts.mapInArrow(run, "doc_id long, quality long, features array<float>")
     rows = sorted({(r.doc_id, r.quality, tuple(r.features)) for r in sample.collect()})
-    return LineField.fit([(np.array(f).reshape(-1, N_FEATURES), q) for _, q, f in rows])
+    whole = [(np.array(f).reshape(-1, N_FEATURES), q) for _, q, f in rows]
+    return LineField.fit([(x[at : at + CHAIN], q) for x, q in whole for at in range(0, len(x), CHAIN)])
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
