@@ -100,9 +100,9 @@ def take_by_hash(
 ) -> DataFrame:
     """Exactly ``limit`` rows (per ``within`` group), the ones with the smallest key hash.
 
-    ``keys`` must identify a row. Hash buckets are counted first, so whole buckets are
-    kept or dropped unsorted-and-unmoved by their counts and ranking happens inside a
-    bucket; no task sees a whole group. ``limit`` may be a frame (``within`` columns, ``_limit``).
+    ``keys`` must identify a row. Hash buckets are counted first; buckets that lie whole under
+    the limit pass by a join with these counts, and only the bucket at the limit is moved and
+    ranked, so no task sees a whole group. ``limit`` may be a frame (``within`` columns, ``_limit``).
     """
     within = list(within)
     h = stable_hash(*keys, seed=seed)
@@ -116,11 +116,12 @@ def take_by_hash(
         cut = cut.withColumn("_limit", F.lit(limit).cast("bigint"))
     else:
         cut = cut.join(limit, within)
-    cut = cut.where(F.col("_before") < F.col("_limit")).select(*within, "_b", "_before", "_limit")
-    kept = tagged.join(cut, [*within, "_b"])
+    end = F.col("_before") + F.col("_n")
+    whole = tagged.join(cut.where(end <= F.col("_limit")), [*within, "_b"])
+    edge = tagged.join(cut.where((F.col("_before") < F.col("_limit")) & (end > F.col("_limit"))), [*within, "_b"])
     rank = F.row_number().over(Window.partitionBy(*within, "_b").orderBy("_h", *keys))
-    kept = kept.withColumn("_rn", rank).where(F.col("_before") + F.col("_rn") <= F.col("_limit"))
-    return kept.select(*df.columns)
+    first = edge.withColumn("_rn", rank).where(F.col("_before") + F.col("_rn") <= F.col("_limit"))
+    return whole.select(*df.columns).union(first.select(*df.columns))
 
 
 def top_by(df: DataFrame, n: int, *order: Column) -> DataFrame:
