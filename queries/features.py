@@ -179,6 +179,14 @@ ANCHOR_SCOPE = f"""SELECT e.user_id, e.{{L}}_id, COUNT(*) AS n FROM {{A}} a JOIN
   AND e.event_type = 'view' AND {AGE} >= 1 GROUP BY ALL"""
 # an event before several anchors of its category counts once
 ONCE_SCOPE = ANCHOR_SCOPE.replace("COUNT(*)", "COUNT(DISTINCT e.event_id)")
+# each anchor day looks at what happened before it, in the categories with an anchor on that day
+DAY_ENTROPY = f"""SELECT a.user_id, a.{{L}}_id AS category_id, a.event_ts, '{{L}}' AS level, COALESCE(h.h, -1.0) AS f_entropy_for_views
+  FROM {{K}} a LEFT JOIN (
+    SELECT user_id, day, ROUND(ABS(SUM(-p * LOG2(p))), 4) AS h FROM (
+      SELECT user_id, day, n / SUM(n) OVER (PARTITION BY user_id, day) AS p FROM (
+        SELECT a.user_id, CAST(a.event_ts AS DATE) AS day, a.{{L}}_id, COUNT(DISTINCT e.event_id) AS n FROM {{K}} a JOIN actions e
+          ON e.user_id = a.user_id AND e.{{L}}_id = a.{{L}}_id AND e.event_type = 'view' AND {AGE} >= 1 GROUP BY ALL)) GROUP BY user_id, day) h
+    ON h.user_id = a.user_id AND h.day = CAST(a.event_ts AS DATE)"""
 ALL_SCOPE = f"""SELECT e.user_id, e.{{L}}_id, COUNT(*) AS n FROM (SELECT user_id, MAX(event_ts) AS event_ts FROM anchors GROUP BY 1) a
   JOIN actions e ON e.user_id = a.user_id AND e.event_type = 'view' AND {AGE} >= 1 GROUP BY ALL"""
 
@@ -197,14 +205,19 @@ def _(t):
     return _entropy(t, repeat_anchor_rows=True)
 
 
-@query("g8_category_entropy_many_days", levels_sql(ENTROPY.replace("SCOPE", ONCE_SCOPE.replace("{A}", "{K}")), WITH_CLICKS))
+@query("g8_category_entropy_many_days", levels_sql(DAY_ENTROPY, WITH_CLICKS))
 def _(t):
     return per_level(lambda lv: entropy.category_entropy(click_anchors(t), t.actions(), lv, "view"))
 
 
+@query("g8_category_entropy_pooled_days", levels_sql(ENTROPY.replace("SCOPE", ONCE_SCOPE.replace("{A}", "{K}")), WITH_CLICKS))
+def _(t):
+    return per_level(lambda lv: entropy.category_entropy(click_anchors(t), t.actions(), lv, "view", pool_days=True))
+
+
 @query("g8_category_entropy_many_days_repeated_rows", levels_sql(ENTROPY.replace("SCOPE", ANCHOR_SCOPE.replace("{A}", "anchors")), WITH_CLICKS))
 def _(t):
-    return per_level(lambda lv: entropy.category_entropy(click_anchors(t), t.actions(), lv, "view", repeat_anchor_rows=True))
+    return per_level(lambda lv: entropy.category_entropy(click_anchors(t), t.actions(), lv, "view", repeat_anchor_rows=True, pool_days=True))
 
 
 @query("g8_category_entropy_all_categories", levels_sql(ENTROPY.replace("SCOPE", ALL_SCOPE), WITH_REF))

@@ -77,7 +77,7 @@ def _matrix_sql(prelude: str, labelled: bool = True) -> str:
                 add(f"{c}.z_{a}_{n}", act.zscore_name(a, lv, n), True)
             add(" + ".join(f"{w}::DOUBLE * {num(a, n)}" for n, w in zip(g.weight_windows, g.weights)), act.weighted_name(a, lv), True)
             add(f"{r}.f_time_since_last_{a}_from", act.recency_name(a, lv))
-            e = family(f"ent_{a}", of(a, ft.ENTROPY.replace("SCOPE", ft.ONCE_SCOPE.replace("{A}", "{K}"))))
+            e = family(f"ent_{a}", of(a, ft.DAY_ENTROPY))
             add(f"{e}.f_entropy_for_{a}s", f"f_entropy_for_{lv.name}_cat_{a}s", True)
             pool = f"SELECT DISTINCT a.user_id, a.{lv.id}, a.event_ts, n.{lv.label} FROM anchors a JOIN names n USING (leaf_id)"
             sims = ft.similarity_sql(lv, a, g.similarity_windows, "word", lv.label, lv.label, ("user_id", lv.id, "event_ts"), f"{lv.name}_cat", f"{prelude}, {NAMES}, {ft.NAMED}", pool)

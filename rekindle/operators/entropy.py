@@ -23,11 +23,14 @@ def category_counts(
     actions: Sequence[str],
     scope: str = "anchor",
     repeat_anchor_rows: bool = False,
+    pool_days: bool = False,
 ) -> DataFrame:
-    """Past events per (user, category), one count column per action.
+    """Past events per (user, category, anchor_day), one count column per action.
 
-    ``scope="anchor"`` looks only at categories the user has an anchor in, ``"all"`` at
+    ``scope="anchor"`` looks only at categories the user has an anchor in on that day, ``"all"`` at
     every category. With ``repeat_anchor_rows`` an event counts once per anchor row it precedes.
+    ``pool_days`` counts per (user, category) what precedes any of the user's anchors, so an
+    early anchor sees events after it.
     """
     keys = ["user_id", *level.keys]
     past = events.where(F.col("event_type").isin(list(actions)) & F.col(level.id).isNotNull())
@@ -40,35 +43,45 @@ def category_counts(
         sides = ["user_id", *level.extra]
     else:
         raise ValueError(f"unknown scope {scope!r}")
-    if repeat_anchor_rows:
-        days = anchors.groupBy(*sides, anchor_day().alias("until")).agg(F.count(F.lit(1)).alias("_rows"))
+    if pool_days and not repeat_anchor_rows:
+        days = anchors.groupBy(*sides).agg(F.max(anchor_day()).alias("anchor_day")).withColumn("_rows", F.lit(1))
     else:
-        days = anchors.groupBy(*sides).agg(F.max(anchor_day()).alias("until")).withColumn("_rows", F.lit(1))
-    joined = days.join(per_day, sides).where(F.col("day") < F.col("until"))
-    return joined.groupBy(*keys).agg(*[F.sum(F.col(f"n_{a}") * F.col("_rows")).alias(f"n_{a}") for a in actions])
+        rows = F.count(F.lit(1)) if repeat_anchor_rows else F.first(F.lit(1))
+        days = anchors.groupBy(*sides, anchor_day().alias("anchor_day")).agg(rows.alias("_rows"))
+    joined = days.join(per_day, sides).where(F.col("day") < F.col("anchor_day"))
+    by = keys if pool_days else [*keys, "anchor_day"]
+    return joined.groupBy(*by).agg(*[F.sum(F.col(f"n_{a}") * F.col("_rows")).alias(f"n_{a}") for a in actions])
 
 
 def user_entropy(counts: DataFrame, level: Level, actions: Sequence[str]) -> DataFrame:
-    """Entropy in bits of each user's category shares, from counts alone.
+    """Entropy in bits of each user's category shares, from counts alone, per anchor day where the counts have one.
 
     -sum(p log2 p) equals log2(T) - sum(c log2 c) / T, so one aggregate is enough.
     """
+    day = [c for c in counts.columns if c == "anchor_day"]
+
     def bits(action: str) -> Column:
         n = F.col(f"n_{action}")
         total = F.sum(n)
         spread = F.log2(total) - F.sum(F.when(n > 0, n * F.log2(n)).otherwise(0.0)) / total
         return F.when(total > 0, F.round(F.abs(spread), 4))
 
-    return counts.groupBy("user_id", *level.extra).agg(*[bits(a).alias(entropy_name(a, level)) for a in actions])
+    return counts.groupBy("user_id", *level.extra, *day).agg(*[bits(a).alias(entropy_name(a, level)) for a in actions])
 
 
 def category_entropy(
-    anchors: DataFrame, events: DataFrame, level: Level, actions: str | Sequence[str], scope: str = "anchor", repeat_anchor_rows: bool = False
+    anchors: DataFrame,
+    events: DataFrame,
+    level: Level,
+    actions: str | Sequence[str],
+    scope: str = "anchor",
+    repeat_anchor_rows: bool = False,
+    pool_days: bool = False,
 ) -> DataFrame:
-    """Per anchor key the user's category entropy per action; -1 without past events."""
+    """Per anchor key the user's category entropy per action before the anchor's day; -1 without past events."""
     actions = [actions] if isinstance(actions, str) else list(actions)
-    found = user_entropy(category_counts(anchors, events, level, actions, scope, repeat_anchor_rows), level, actions)
-    keys = anchor_keys(anchors, level).drop("anchor_day")
-    return keys.join(found, ["user_id", *level.extra], "left").select(
+    found = user_entropy(category_counts(anchors, events, level, actions, scope, repeat_anchor_rows, pool_days), level, actions)
+    by = ["user_id", *level.extra, *([] if pool_days else ["anchor_day"])]
+    return anchor_keys(anchors, level).join(found, by, "left").select(
         "user_id", *level.keys, "event_ts", *[F.coalesce(entropy_name(a, level), F.lit(-1.0)).alias(entropy_name(a, level)) for a in actions]
     )

@@ -115,7 +115,7 @@ def test_entropy(spark, repeat):
     history = random_history(5)
     starts = sorted({anchor(e[0], e[1], datetime(2024, 1, 10) + timedelta(days=e[1] % 3)) for e in history if e[4] == "click"})
     events, anchors = frames(spark, history, starts)
-    got = {r[0]: r[3] for r in category_entropy(anchors, events, MID, "view", repeat_anchor_rows=repeat).collect()}
+    got = {r[0]: r[3] for r in category_entropy(anchors, events, MID, "view", repeat_anchor_rows=repeat, pool_days=True).collect()}
     for user in {a[0] for a in starts}:
         counts = Counter()
         for e in history:
@@ -126,6 +126,20 @@ def test_entropy(spark, repeat):
         want = round(abs(-sum(n / total * log2(n / total) for n in counts.values() if n)), 4) if total else -1
         assert got[user] == pytest.approx(want, abs=1e-9)
         assert want <= log2(max(len(counts), 1)) + 1e-9
-    long = category_entropy(all_levels(anchors), all_levels(events), ANY, ["view", "purchase"], repeat_anchor_rows=repeat)
+    long = category_entropy(all_levels(anchors), all_levels(events), ANY, ["view", "purchase"], repeat_anchor_rows=repeat, pool_days=True)
     for r in long.where(F.col("level") == "mid").collect():
         assert r[entropy_name("view", ANY)] == got[r.user_id]
+
+
+def test_entropy_sees_no_later_event(spark):
+    history = random_history(6)
+    starts = sorted({anchor(e[0], e[1], datetime(2024, 1, 8) + timedelta(days=3 * (e[1] % 3))) for e in history if e[4] == "click"})
+    events, anchors = frames(spark, history, starts)
+    rows = category_entropy(anchors, events, MID, "view").collect()
+    assert {(r[0], r[1], r[2]) for r in rows} == {(a[0], a[2], a[4]) for a in starts}
+    for user, _, when, value in rows:
+        mine = {a[2] for a in starts if a[0] == user and a[4].date() == when.date()}
+        counts = Counter(e[2] for e in history if e[0] == user and e[4] == "view" and e[2] in mine and age(when, e[5]) > 0)
+        total = sum(counts.values())
+        want = round(abs(-sum(n / total * log2(n / total) for n in counts.values())), 4) if total else -1
+        assert value == pytest.approx(want, abs=1e-9)
