@@ -39,25 +39,28 @@ def _parent(children: DataFrame, keys: list[Column], parts: list[str]) -> DataFr
     agg = [F.sha2(F.concat_ws(",", text), 256).alias("digest")]
     if parts:
         agg += [F.min("from_byte").alias("from_byte"), F.max("to_byte").alias("to_byte")]
-    return children.groupBy(*keys).agg(*agg)
+    return children.groupBy("replica", *keys).agg(*agg)
 
 
 def tree(own_leaves: DataFrame, record_levels: int, file_levels: int) -> list[DataFrame]:
-    """Levels of nodes (file, number, digest) from the records up to the archive's root.
+    """Levels of nodes (replica, file, number, digest) from the records up to the archive's root, for all replicas of `own_leaves` at once.
 
     Up to level `record_levels` nodes cover offset ranges within a file, the last one the whole file; above they cover ranges of
-    files. A group never holds more than FAN_OUT nodes, whatever the size of files or archive.
+    files. A group never holds more than FAN_OUT nodes, whatever the size of files or archive. Each level above the records is stored, a sixteenth
+    of the one below, so that no level hashes those below it again.
     """
-    level = own_leaves.select("file", F.col("seq").alias("number"), F.col("record_offset").alias("from_byte"), (F.col("record_offset") + F.col("record_length")).alias("to_byte"), "digest")
-    out = [level]
+    ends = (F.col("record_offset") + F.col("record_length")).alias("to_byte")
+    level = own_leaves.select("replica", "file", F.col("seq").alias("number"), F.col("record_offset").alias("from_byte"), ends, "digest")
+    out = [own_leaves.withColumnRenamed("seq", "number")]
     up = F.floor(F.col("number") / F.lit(FAN_OUT)).cast("long")
-    for _ in range(record_levels):
+    for k in range(record_levels):
         level = _parent(level, [F.col("file"), up.alias("number")], ["from_byte", "to_byte"])
+        if k == record_levels - 1:
+            level = level.select("replica", F.lit(0).cast("long").alias("file"), F.col("file").alias("number"), "digest")
+        level = cut(level)
         out.append(level)
-    level = level.select(F.lit(0).cast("long").alias("file"), F.col("file").alias("number"), "digest")
-    out[-1] = level
     for _ in range(file_levels):
-        level = _parent(level, [F.col("file"), up.alias("number")], [])
+        level = cut(_parent(level, [F.col("file"), up.alias("number")], []))
         out.append(level)
     return out
 
@@ -79,27 +82,26 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     side has no such record). A lost or added record moves the offsets behind it, so the rest of its file is reported too.
     Two empty archives do not differ.
     """
-    stored = [cut(primary), cut(replica)]
-    sizes = stored[0].unionByName(stored[1]).agg(F.max("seq"), F.max("file"), F.min("file")).first()
+    sides = [x.select("file", "seq", "page_id", "record_offset", "record_length", "digest", F.lit(side).alias("replica")) for side, x in enumerate((primary, replica))]
+    stored = cut(sides[0].unionByName(sides[1]))
+    sizes = stored.agg(F.max("seq"), F.max("file"), F.min("file")).first()
     if sizes[0] is None:
         record_levels, file_levels = 1, 1
     else:
         record_levels, file_levels = max(1, _depth(sizes[0])), max(1, _depth(sizes[1])) + (1 if sizes[2] < 0 else 0)
-    levels = [tree(x, record_levels, file_levels) for x in stored]
+    levels = tree(stored, record_levels, file_levels)
+    up = F.floor(F.col("number") / F.lit(FAN_OUT)).cast("long")
+    hashes = [F.max(F.when(F.col("replica") == side, F.col("digest"))).alias(name) for side, name in enumerate(("expected", "found"))]
     wrong = None
     for k in range(record_levels + file_levels, -1, -1):
-        mine, other = (level[k].select("file", "number", "digest") for level in levels)
+        nodes = levels[k]
         if wrong is not None:
             # At the level of whole files a node's number is the file's; below, records are numbered within their file.
             if k == record_levels - 1:
-                inside = wrong.select(F.col("number").alias("file"), F.lit(0).cast("long").alias("parent")).distinct()
+                inside = wrong.select(F.col("number").alias("file"), F.lit(0).cast("long").alias("parent"))
             else:
                 inside = wrong.select("file", F.col("number").alias("parent"))
-            up = F.floor(F.col("number") / F.lit(FAN_OUT)).cast("long")
-            mine, other = (x.withColumn("parent", up).join(inside, ["file", "parent"], "left_semi") for x in (mine, other))
-        a = mine.select("file", "number", F.col("digest").alias("expected"))
-        b = other.select("file", "number", F.col("digest").alias("found"))
-        wrong = a.join(b, ["file", "number"], "full").where(~F.col("expected").eqNullSafe(F.col("found")))
-    place = stored[0].unionByName(stored[1]).groupBy("file", F.col("seq").alias("number"))
-    named = place.agg(*[F.min(c).alias(c) for c in ("page_id", "record_offset", "record_length")])
-    return wrong.join(named, ["file", "number"]).select("file", F.col("number").alias("seq"), "page_id", "record_offset", "record_length", "expected", "found")
+            nodes = nodes.withColumn("parent", up).join(inside, ["file", "parent"], "left_semi")
+        place = [] if k else [F.min(c).alias(c) for c in ("page_id", "record_offset", "record_length")]
+        wrong = cut(nodes.groupBy("file", "number").agg(*place, *hashes).where(~F.col("expected").eqNullSafe(F.col("found"))))
+    return wrong.select("file", F.col("number").alias("seq"), "page_id", "record_offset", "record_length", "expected", "found")
