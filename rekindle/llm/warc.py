@@ -14,22 +14,27 @@ PER_FILE = 1000
 def archive_records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """WARC resource records of `pages` (page_id, url, html) laid out in files.
 
-    Returns file, seq (place in the file), page_id, record_offset, record_length and record (the text). A file holds `per_file`
+    Returns file, seq (place in the file), page_id, record_offset, record_length, record (the text) and digest (its SHA-256). A file holds `per_file`
     consecutive ids in their order, equal ids ordered by content. Null url and html are empty; null ids share one file of their own,
     numbered -1, ordered by content.
     """
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.select("page_id", F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
+    return _laid_out(pages.select("page_id", F.concat(head, html, F.lit("\r\n\r\n")).alias("record")), per_file)
+
+
+def _laid_out(rows: DataFrame, per_file: int) -> DataFrame:
+    """`rows` (page_id, record) with their file and place in it. Hashes and lengths are taken before the rows move."""
     rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / F.lit(per_file)), F.lit(-1)).cast("long"))
-    order = Window.partitionBy("file").orderBy("page_id", F.sha2("record", 256))
-    rows = rows.withColumn("record_length", F.octet_length("record").cast("long")).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+    rows = rows.withColumn("digest", F.sha2("record", 256)).withColumn("record_length", F.octet_length("record").cast("long"))
+    order = Window.partitionBy("file").orderBy("page_id", "digest")
+    rows = rows.withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
     return rows.withColumn("record_offset", F.sum("record_length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("record_length"))
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """A leaf for each record: its range of the file and the hash of its bytes."""
-    return records.select("file", "seq", "page_id", "record_offset", "record_length", F.sha2("record", 256).alias("digest"))
+    """A leaf for each record of `archive_records`: its range of the file and the hash of its bytes. The records themselves are not shuffled for it."""
+    return records.select("file", "seq", "page_id", "record_offset", "record_length", "digest")
 
 
 def _parent(children: DataFrame, keys: list[Column], parts: list[str]) -> DataFrame:
