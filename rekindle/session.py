@@ -27,15 +27,15 @@ def local_session(cpus: int | str = 8, app: str = "rekindle", **conf: str) -> Sp
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, the place every executor can reach.
 
-    Where the setting is missing a temporary folder stands in, but only on one machine.
+    Where the setting is missing a temporary folder stands in, but only in a local session; any other master is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            return None
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="rekindle-")
     return f"{root.rstrip('/')}/rekindle-{uuid.uuid4().hex}"
 
@@ -44,11 +44,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store a frame that several later steps use, and read it back.
 
     A stored table survives the loss of executors, keeps column pruning and has known sizes.
-    Without a shared folder the frame is returned as it is: Spark then recomputes it, which
-    is slower but never wrong.
     """
     path = shared_folder(df.sparkSession)
-    if path is None:
-        return df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
