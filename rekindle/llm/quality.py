@@ -91,6 +91,7 @@ class LineField:
         weights, links = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
         documents = sorted((d for d in documents if len(d[0])), key=lambda d: -len(d[0]))
         if not documents:
+            weights[0, 1] = 1.0  # the feature that is one on every line
             return LineField(weights, links)
         lengths = np.array([len(x) for x, _ in documents])
         steps, total = lengths[0], lengths.sum()
@@ -134,10 +135,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     Every line of a document of quality 1 counts as content and every line of one of quality 0 as boilerplate; as plain lines are far more
     frequent in good documents, those in bad ones come out as content all the same. Labels that are null, neither 0 nor 1, or in conflict
-    are not used; a text is used once, whole, in chains of at most CHAIN lines. Without usable labels all weights are zero and every document is content.
+    are not used, nor are those of documents without a line that has a word; a text is used once, whole, in chains of at most CHAIN lines. Without usable labels every line is content.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
-    picked = usable.where(F.col("quality") == F.col("most")).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    agreed = usable.where(F.col("quality") == F.col("most")).select("doc_id", "quality")
+    present = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id").distinct()
+    picked = agreed.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = docs.select(F.col("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,6 +123,24 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert quality.judge(docs.limit(0), quality.train(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_without_usable_labels_keeps_what_passes_the_base_rules(spark):
+    rng = random.Random(8)
+    prose = lambda: "\n".join(" ".join(f"w{rng.randrange(9999)}" for _ in range(12)) for _ in range(6))
+    docs = spark.createDataFrame([(i, prose()) for i in range(6)] + [(6, "too short"), (7, None)], "doc_id long, text string")
+    for labels in ([], [(1, None)], [(1, 0), (1, 1)], [(100, 0)], [(7, 0)]):
+        model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        got = {r.doc_id: (r.content_share, r.kept) for r in quality.judge(docs, model).collect()}
+        assert got == {**dict.fromkeys(range(6), (1.0, True)), 6: (1.0, False), 7: (0.0, False)}
+
+
+def test_quality_sample_skips_labels_of_absent_documents(spark):
+    docs = spark.createDataFrame([(i, "some words here\nand | there |") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(i, 1) for i in range(1000, 3000)], "doc_id long, quality int")
+    model = quality.train(docs, labels, max_labelled=20)
+    assert model.links.any()  # fitted
+    assert {r.content_share for r in quality.judge(docs, model).collect()} == {0.0}  # every labelled text is boilerplate
+
+
 def test_decontamination_at_the_threshold(spark):
     item = [f"t{k}" for k in range(39)]  # 35 shingles
     near = [*item[:32], *["other"] * 7]  # 28 of them: 0.8
