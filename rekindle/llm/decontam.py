@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rekindle.llm.simhash import text_key
 from rekindle.llm.store import cut
 
 WIDTH = 5
@@ -77,7 +78,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, con
     return found.where(F.col("containment") >= containment).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; rows with a null id are kept."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT, by_row: bool = False) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item; rows with a null id are kept.
+
+    With `by_row` ids play no part: every row is judged by its own text, also one whose id is null or shared, and every text of
+    `benchmark` is an item of its own.
+    """
+    if by_row:
+        keyed = docs.withColumn("_own_key", text_key())
+        items = benchmark.select(text_key().alias("item_id"), "text")
+        dirty = contamination(keyed.select(F.col("_own_key").alias("doc_id"), "text"), items, width, containment).select(F.col("doc_id").alias("_own_key")).distinct()
+        return keyed.join(dirty, "_own_key", "left_anti").select(*docs.columns)
     dirty = contamination(docs.select("doc_id", "text"), benchmark, width, containment).select("doc_id").distinct()
     return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)

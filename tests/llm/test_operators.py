@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from rekindle.llm import decontam, linededup, quality, simhash, urlfilter, warc
+from rekindle.llm import decontam, linededup, pipeline, quality, simhash, urlfilter, warc
 
 
 def test_simhash_against_all_pairs(spark):
@@ -155,6 +155,17 @@ def test_decontamination_at_the_threshold(spark):
     assert decontam.contamination(d.limit(0), b).count() == 0 and decontam.contamination(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_stage_judges_rows_whatever_their_ids(spark, tmp_path):
+    item, unnamed = [f"t{k}" for k in range(40)], [f"u{k}" for k in range(40)]
+    halves = [" ".join([*item[:22], *["x"] * 9]), " ".join([*["y"] * 9, *item[18:]])]  # 18 of 36 shingles each, together all
+    docs = [(None, " ".join(item)), (None, "clean by itself"), (1, " ".join(item)), (1, "a clean row of the same id"), *((2, h) for h in halves), (3, " ".join(unnamed)), (4, None), (5, "")]
+    spark.createDataFrame([(0, " ".join(item)), (None, " ".join(unnamed)), (0, "other text of that id " * 9), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = pipeline.decontamination(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    assert Counter(map(tuple, got.collect())) == Counter([docs[k] for k in (1, 3, 4, 5, 7, 8)])
+
+
 def test_fixity_audit_finds_each_damage(spark):
     rows = [(i, f"http://x/{i}", f"<p>{i}" * (i % 5)) for i in range(2300)] + [(None, None, None), (None, "u", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
