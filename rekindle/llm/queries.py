@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rekindle.llm import decontam, hpylm, linededup, mixing, quality, simhash, substring, suffixdedup, urlfilter, warc
+from rekindle.llm import decontam, hpylm, linededup, mixing, periodic, quality, resample, simhash, substring, suffixdedup, tokens, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +148,57 @@ def op9(spark, folder):
 def op10(spark, folder):
     out = substring.remove_repeated_words(table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by the checksum of its id, from some word on, goes on repeating a few of its words."""
+    checked = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.expr(r"CASE WHEN h % 10 = 0 THEN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0) END")
+    split = checked.withColumn("words", words).withColumns({"n": F.size("words"), "g": F.expr("h div 10")})
+    placed = split.withColumns({"a": F.expr("CASE WHEN n > 0 THEN cast(g % n as int) END")}).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    planted = F.expr("concat_ws(' ', slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast((n - a + p - 1) div p as int))), 1, n - a))")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, folder):
+    out = periodic.collapse_runs(with_planted_runs(table(spark, folder, "documents")))
+    by_exponent = "(l, r) -> CASE WHEN l.length * r.period <> r.length * l.period THEN CASE WHEN l.length * r.period > r.length * l.period THEN -1 ELSE 1 END WHEN l.start <> r.start THEN CASE WHEN l.start < r.start THEN -1 ELSE 1 END ELSE CASE WHEN l.period < r.period THEN -1 WHEN l.period > r.period THEN 1 ELSE 0 END END"
+    best = out.withColumn("best", F.expr(f"get(array_sort(runs, {by_exponent}), 0)"))
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op12_importance_resampling",
+    f"""WITH c AS (SELECT i, list_reduce([i] || range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM c),
+d AS (SELECT doc_id, {_WORDS_SQL} AS words FROM documents),
+dw AS (SELECT doc_id, unnest(words) AS w FROM d),
+bw AS (SELECT unnest({_WORDS_SQL}) AS w FROM benchmark),
+code AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(strlen(w)), lambda k: CAST('0x' || substr(hex(w), 2 * k + 1, 2) AS BIGINT)), lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)), tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN code USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN code USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw) + 10000 AS s_all, (SELECT count(*) FROM bw) + 10000 AS t_all),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * s_all / ((coalesce(s, 0) + 1)::DOUBLE * t_all))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket), n),
+f AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN code USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN f USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM x WHERE n_features >= 20)
+SELECT x.*, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)""",
+)
+def op12(spark, folder):
+    out = resample.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_token_counts")
+def op13(spark, folder):
+    return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
