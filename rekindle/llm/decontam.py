@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rekindle.llm.simhash import text_key
 from rekindle.llm.store import cut
 
 WIDTH = 5
@@ -18,6 +17,11 @@ def _words(text: Column) -> Column:
     return F.when(F.length(lower) > 0, F.split(lower, " ", -1)).otherwise(F.array().cast("array<string>"))
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits that stand for a text; null texts count as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def _windows(width: int) -> str:
     """SQL of the word windows of `words`, as starting places; one window where there are fewer words, none without words."""
     return f"CASE WHEN size(words) = 0 THEN array() ELSE sequence(0, greatest(size(words) - {width}, 0)) END"
@@ -61,13 +65,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, con
     Null and blank texts hold nothing and are not held; null ids are left out, as a pair could not name them. Rows with an id in common are
     judged together. Items of equal text are each reported.
     """
-    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _words(F.col("text")).alias("words"))
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    own = texts.select("doc_id", _words(F.col("text")).alias("words"))
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", _words(F.col("text")).alias("words"))
     # Most items share no hash with one another; a hash on most documents meets each document once. Spark broadcasts the sketches
     # while their measured size is under its limit and splits large keys of the shuffled join beyond.
     sketches = item_sketches(items, width, containment)
     candidates = cut(_shingle_hashes(own, width).join(sketches.select("item_id", "h"), "h").select("doc_id", "item_id").distinct())
-    near = own.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Ids first: only the texts of candidates are split into words again.
+    near = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _words(F.col("text")).alias("words"))
     of_docs = _shingles(near, "doc_id", width).distinct()
     of_items = _shingles(items, "item_id", width).distinct()
     counts = of_items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles"))
@@ -85,9 +91,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, con
     `benchmark` is an item of its own.
     """
     if by_row:
-        keyed = docs.withColumn("_own_key", text_key())
-        items = benchmark.select(text_key().alias("item_id"), "text")
-        dirty = contamination(keyed.select(F.col("_own_key").alias("doc_id"), "text"), items, width, containment).select(F.col("doc_id").alias("_own_key")).distinct()
-        return keyed.join(dirty, "_own_key", "left_anti").select(*docs.columns)
-    dirty = contamination(docs.select("doc_id", "text"), benchmark, width, containment).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+        keyed = docs.select(F.struct("*").alias("doc")).select("doc", text_digest(F.col("doc.text")).alias("digest"))
+        items = benchmark.select(text_digest(F.col("text")).alias("item_id"), "text")
+        dirty = contamination(keyed.select(F.col("digest").alias("doc_id"), "doc.text"), items, width, containment).select(F.col("doc_id").alias("digest")).distinct()
+        return keyed.join(dirty, "digest", "left_anti").select("doc.*")
+    dirty = contamination(docs.select("doc_id", "text"), benchmark, width, containment).select(F.col("doc_id").alias("dirty_id")).distinct()
+    return docs.join(dirty, docs["doc_id"] == dirty["dirty_id"], "left_anti")

@@ -50,19 +50,22 @@ def repetitions(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, mo
     holds most rows costs no more than others. Columns of `docs` by these names are replaced.
     """
     made = ["size", "source_size", "target", "copies"]
-    own = docs.drop(*made).withColumn("size", word_count(F.col("text")))
-    sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = source_targets(sizes, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target")
+    # The rows travel whole under `doc`, so that none of their columns can clash.
+    whole = docs.drop(*made).select(F.struct("*").alias("doc"))
+    own = whole.select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("own_source"), word_count(F.col("doc.text")).alias("size"))
+    sizes = own.groupBy(F.col("own_source").alias("source")).agg(F.sum("size").alias("source_size"))
+    t = source_targets(sizes, weights, share, most)
     # One row for each source: adaptive execution broadcasts it by its measured size, else splits the large source.
-    joined = own.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = own.join(t, F.col("own_source").eqNullSafe(F.col("source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     draw = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    return joined.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long"))
+    copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
+    return joined.select("doc.*", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document of `docs` as often as `repetitions` says, with the number of the copy."""
     counted = repetitions(docs, **options).where(F.col("copies") > 0)
     columns = [c for c in docs.columns if c != "copy"]
-    return counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return counted.select(*(f"`{c}`" for c in columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rekindle.llm import decontam, linededup, mixing, neardup, quality
+from rekindle.llm import decontam, linededup, mixing, quality, simhash
 from rekindle.llm.store import shared_folder
 
 
@@ -26,7 +26,7 @@ def _aside_name(column: str) -> str:
 
 def _restored(docs: DataFrame) -> list[Column]:
     """The columns of `docs` from what an operator made of `_aside(docs)`."""
-    return [F.col(_aside_name(c)).alias(c) for c in docs.columns]
+    return [F.col(f"`{_aside_name(c)}`").alias(c) for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,8 @@ def _recounted(docs: DataFrame) -> list[Column]:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near copies: Jaccard similarity 0.8 or more of five-word shingles."""
-    return neardup.one_of_each(docs)
+    """The first document of each component of near copies, by op1's shingles and bit distance."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,8 +159,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The first row of each component of `docs` (doc_id, text, any others); of equal rows one stays."""
-    first = near_duplicates(docs, width, radius).where("is_first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_own_key", text_key())
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own_key"]).select(*docs.columns)
+    """The first row of each component of `docs` (doc_id, text, any others); of rows with equal id and text one stays."""
+    first = near_duplicates(docs, width, radius).where("is_first").select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key")).distinct()
+    whole = docs.select(F.struct("*").alias("doc"))  # so that no column can clash
+    keyed = whole.select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("doc.text", F.lit(""))).alias("text_key"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_key"]).select("doc.*")

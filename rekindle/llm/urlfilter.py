@@ -29,7 +29,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
 
     `rules` (verdict, host, path) fit their host and all its subdomains where the path of the url starts with theirs. The
     longest rule (host and path together) wins, then the one with the longer host; between equal rules a block wins. A page that no
-    rule fits, as one with a null url or without ://, has a null rule and the verdict `otherwise`.
+    rule fits, as one with a null url or without ://, has a null rule and the verdict `otherwise`. Columns of `pages` by the names of results are replaced.
 
     Each url is expanded into its host suffixes, and those into the path prefixes of the lengths that rules of the same host
     have; each expression meets the rules in an equi-join on 32 bits of its SHA-256, and the full digests decide. Only
@@ -56,8 +56,9 @@ def apply_rules(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
     expanded = expanded.withColumn("prefix", F.expr("substring(path, 1, n)")).withColumn("digest", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256))
     hits = expanded.join(own, short(F.col("digest")) == short(F.col("full_digest"))).where(F.col("digest") == F.col("full_digest"))
     precedence = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("verdict"), F.concat("r_host", "r_path").alias("rule"))
-    best = hits.groupBy(F.col("url").alias("_url")).agg(F.max(precedence).alias("best"))
-    best = best.select("_url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("_verdict"))
+    best = hits.groupBy("url").agg(F.max(precedence).alias("best"))
 
-    out = pages.drop("host", "path", "rule", "verdict").join(best, url == F.col("_url"), "left")
-    return out.withColumns({"host": host_of(url), "path": path_of(url), "verdict": F.coalesce("_verdict", F.lit(otherwise))}).drop("_url", "_verdict")
+    whole = pages.drop("host", "path", "rule", "verdict").select(F.struct("*").alias("page"))  # so that no column can clash
+    out = whole.join(best, F.col("page.url") == F.col("url"), "left")
+    own = F.col("page.url")
+    return out.select("page.*", host_of(own).alias("host"), path_of(own).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from rekindle.llm import decontam, linededup, pipeline, quality, simhash, urlfilter, warc
+from rekindle.llm import decontam, linededup, mixing, pipeline, quality, simhash, urlfilter, warc
 
 
 def test_simhash_against_all_pairs(spark):
@@ -189,3 +189,27 @@ def test_url_rules(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.apply_rules(pages, rules).collect()}
     assert got == dict(enumerate([*cases.values(), *cases.values()]))
     assert urlfilter.apply_rules(pages.limit(0), rules).count() == 0
+
+
+#: Names that the operators use for columns of their own.
+CLASHING = ["_id", "_key", "_own_key", "_source", "own_source", "_url", "_verdict", "doc", "page", "digest", "first_id", "text_key", "fp", "fingerprint", "is_first", "best", "item_id", "row", "copy number", "a.b"]
+
+
+def test_extra_columns_by_any_name_come_through(spark, tmp_path):
+    text = "some clean words of a text that nothing else repeats at all"
+    rows = [(1, text, "s", *CLASHING), (None, f"{text} but a little longer than it", None, *CLASHING), (2, "benchmark item words here in a row", "s", *CLASHING)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    df = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(0, "benchmark item words here in a row")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    single = simhash.one_of_each(df)
+    assert single.columns == df.columns and Counter(map(tuple, single.collect())) == Counter(rows)
+    for clean in (decontam.decontaminate(df, bench, by_row=True), decontam.decontaminate(df, bench)):
+        assert clean.columns == df.columns and Counter(map(tuple, clean.collect())) == Counter(rows[:2])
+    mixed = mixing.mix(df).select(*(f"`{c}`" for c in df.columns)).distinct()
+    assert set(map(tuple, mixed.collect())) <= set(rows)
+    pages = df.withColumnsRenamed({"doc_id": "page_id", "text": "url"})
+    judged = urlfilter.apply_rules(pages, urlfilter.rule_table(spark, [("block", "x.org", "/")]))
+    assert Counter(map(tuple, judged.select(*(f"`{c}`" for c in pages.columns)).collect())) == Counter(rows)
+    for name, stage in pipeline.STAGES[2:4]:
+        assert stage(spark, df, str(tmp_path)).columns == df.columns, name
