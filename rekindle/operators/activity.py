@@ -9,16 +9,21 @@ Two plans give the same numbers:
   (user, category) with conditional sums, so map tasks combine a hot user before the
   shuffle, and the leaf totals are rolled up to the upper levels;
 * anchors on many days: events are first reduced to one row per (user, category,
-  day), then joined to the distinct anchor days. A category of a user holds at most
-  one row per calendar day on either side, however hot it is.
+  day); these days and the anchor days then share one timeline per (user, category), and
+  every window is a range frame over the day number. No event day is paired with an anchor
+  day, and a timeline holds at most two rows per calendar day, however hot its key is.
+
+Variances come from states of count, sum and squared deviations from the own mean, which
+events give by the built-in aggregates and which are merged pairwise from then on: through
+days, leaves, levels and windows. Sums of squares would cancel for large amounts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rekindle.levels import ANY, LEVELS, Level, all_levels
@@ -74,53 +79,61 @@ def zscore_name(action: str, level: Level, days: int) -> str:
 
 
 # ---- partial sums ---------------------------------------------------------------------
-# Measures per action: n events, c known amounts, s and q their sum and sum of squares,
-# lo and hi their extremes, last the latest day. Written as SQL text because a grid has
-# hundreds of them.
-
-_MERGE = {"n": "sum", "c": "sum", "s": "sum", "q": "sum", "lo": "min", "hi": "max", "last": "max"}
-
-
-def _as_measures(events: DataFrame, spec: ActivitySpec, keys: Sequence[str]) -> DataFrame:
-    """One row per event with its measures."""
-    cols: list[str] = []
-    for a in spec.actions:
-        hit = f"event_type = '{a}'"
-        cols.append(f"CAST({hit} AS BIGINT) AS n_{a}")
-        if a in spec.amounts:
-            value = f"CASE WHEN {hit} THEN CAST(amount AS DOUBLE) END"
-            cols += [
-                f"CAST({hit} AND amount IS NOT NULL AS BIGINT) AS c_{a}",
-                f"{value} AS s_{a}",
-                f"power({value}, 2) AS q_{a}",
-                f"{value} AS lo_{a}",
-                f"{value} AS hi_{a}",
-            ]
-    relevant = events.where(F.col("event_type").isin(spec.actions))
-    return relevant.selectExpr(*keys, "to_date(event_ts) AS event_day", *cols)
+# Measures per action: n events, c known amounts, s their sum, v their squared deviations
+# from the mean, lo and hi their extremes, last the latest day. Written as SQL text because a
+# grid has hundreds of them.
 
+_MERGE = {"n": "sum", "c": "sum", "s": "sum", "lo": "min", "hi": "max", "last": "max"}
+_AMOUNT_MEASURES = ("c", "s", "v", "lo", "hi")
 
-def _merge(col: str) -> Column:
-    return F.expr(f"{_MERGE[col.split('_', 1)[0]]}({col}) AS {col}")
+
+def _first_measure(measure: str, hit: str) -> str:
+    """SQL of an amount measure over plain events, of those where ``hit`` holds."""
+    value = f"CASE WHEN {hit} THEN CAST(amount AS DOUBLE) END"
+    return {
+        "c": f"count({value})",
+        "s": f"sum({value})",
+        "v": f"coalesce(var_pop({value}) * count({value}), 0D)",
+        "lo": f"min({value})",
+        "hi": f"max({value})",
+    }[measure]
 
 
-def _window_partials(spec: ActivitySpec, anchored: str) -> list[Column]:
-    """Conditional aggregates for every window over rows of measures.
+def _state(suffix: str) -> str:
+    """SQL of the state of a group of amounts; null for an empty one."""
+    return f"CASE WHEN c_{suffix} > 0 THEN struct(c_{suffix} AS c, s_{suffix} AS s, v_{suffix} AS v) END"
 
-    ``anchored`` is the SQL of the anchor's day.
+
+def merged_deviations(states: str) -> str:
+    """SQL of the squared deviations from the common mean of groups, from the list of their states.
+
+    A state is count, sum and squared deviations; two groups are merged by the distance of their
+    means, so nothing is lost to the size of the values. Sorted, so that the result does not
+    depend on the order of arrival.
     """
-    age = f"datediff({anchored}, event_day)"
+    gap = "(x.s / x.c - a.m)"
+    total = "(a.n + x.c)"
+    step = f"(a, x) -> named_struct('n', {total}, 'm', a.m + {gap} * x.c / {total}, 'v', a.v + x.v + {gap} * {gap} * a.n * x.c / {total})"
+    return f"aggregate(array_sort({states}), named_struct('n', CAST(0 AS BIGINT), 'm', 0D, 'v', 0D), {step}, a -> a.v)"
+
+
+def _merge(col: str) -> Column:
+    measure, suffix = col.split("_", 1)
+    if measure == "v":
+        return F.expr(f"{merged_deviations(f'collect_list({_state(suffix)})')} AS {col}")
+    return F.expr(f"{_MERGE[measure]}({col}) AS {col}")
 
-    def inside(days: int, col: str) -> str:
-        return f"CASE WHEN {age} BETWEEN 1 AND {days} THEN {col} END"
 
+def _totals(spec: ActivitySpec, hit: Callable[[str, int | None], str], windows: bool) -> list[Column]:
+    """Aggregates over plain events: all measures of ``spec``, per window or without any."""
     out: list[str] = []
-    for a, windows in spec.counts.items():
-        out += [f"sum({inside(n, f'n_{a}')}) AS n_{a}_{n}" for n in windows]
-    out += [f"max(CASE WHEN {age} >= 1 AND n_{a} > 0 THEN event_day END) AS last_{a}" for a in spec.recency]
-    for a, windows in spec.amounts.items():
-        for n in windows:
-            out += [f"{_MERGE[m]}({inside(n, f'{m}_{a}')}) AS {m}_{a}_{n}" for m in ("c", "s", "q", "lo", "hi")]
+    for a, days in spec.counts.items() if windows else ((a, (None,)) for a in spec.actions):
+        out += [f"count(CASE WHEN {hit(a, n)} THEN 1 END) AS n_{a}{'' if n is None else f'_{n}'}" for n in days]
+    if windows:
+        out += [f"max(CASE WHEN {hit(a, None)} THEN to_date(event_ts) END) AS last_{a}" for a in spec.recency]
+    for a, days in spec.amounts.items():
+        for n in days if windows else (None,):
+            out += [f"{_first_measure(m, hit(a, n))} AS {m}_{a}{'' if n is None else f'_{n}'}" for m in _AMOUNT_MEASURES]
     return [F.expr(e) for e in out]
 
 
@@ -132,13 +145,13 @@ def _finish(partials: DataFrame, spec: ActivitySpec, level: Level, keys: Sequenc
     out += [f"coalesce(datediff(anchor_day, last_{a}), -1) AS {recency_name(a, level)}" for a in spec.recency]
     for a, windows in spec.amounts.items():
         for n in windows:
-            c, s, q = (f"({m}_{a}_{n} * {repeat})" for m in ("c", "s", "q"))
+            c, s, v = (f"({m}_{a}_{n} * {repeat})" for m in ("c", "s", "v"))
             out += [
                 f"coalesce({s}, 0D) AS {amount_name('sum', level, n)}",
                 f"coalesce(CASE WHEN {c} > 0 THEN {s} / {c} END, 0D) AS {amount_name('mean', level, n)}",
                 f"coalesce(hi_{a}_{n}, -1D) AS {amount_name('max', level, n)}",
                 f"coalesce(lo_{a}_{n}, -1D) AS {amount_name('min', level, n)}",
-                f"coalesce(CASE WHEN {c} > 1 THEN greatest(({q} - {s} * {s} / {c}) / ({c} - 1), 0D) END, -1D) AS {amount_name('var', level, n)}",
+                f"coalesce(CASE WHEN {c} > 1 THEN {v} / ({c} - 1) END, -1D) AS {amount_name('var', level, n)}",
             ]
     return partials.selectExpr(*keys, *out)
 
@@ -167,11 +180,23 @@ def _bounded(events: DataFrame, spec: ActivitySpec, ref_date: str | None) -> Dat
     return kept
 
 
+def _of(spec: ActivitySpec, events: DataFrame) -> DataFrame:
+    return events.where(F.col("event_type").isin(spec.actions))
+
+
+def _at_reference(events: DataFrame, spec: ActivitySpec, ref_date: str, keys: Sequence[str]) -> DataFrame:
+    """Totals per key of what lies before one reference date, for every window."""
+
+    def hit(action: str, days: int | None) -> str:
+        age = f"datediff(DATE'{ref_date}', to_date(event_ts))"
+        return f"event_type = '{action}' AND {age} " + (">= 1" if days is None else f"BETWEEN 1 AND {days}")
+
+    return _of(spec, _bounded(events, spec, ref_date)).groupBy(*keys).agg(*_totals(spec, hit, windows=True))
+
+
 def reference_date_partials(events: DataFrame, spec: ActivitySpec, ref_date: str) -> DataFrame:
     """Leaf totals of every (user, leaf, mid, top) for one reference date."""
-    keys = ["user_id", *[lv.id for lv in LEVELS]]
-    rows = _as_measures(_bounded(events, spec, ref_date), spec, keys)
-    return rows.groupBy(*keys).agg(*_window_partials(spec, f"DATE'{ref_date}'"))
+    return _at_reference(events, spec, ref_date, ["user_id", *[lv.id for lv in LEVELS]])
 
 
 def roll_up(partials: DataFrame, level: Level) -> DataFrame:
@@ -184,9 +209,43 @@ def roll_up(partials: DataFrame, level: Level) -> DataFrame:
 
 def daily(events: DataFrame, spec: ActivitySpec, keys: Sequence[str]) -> DataFrame:
     """One row per key and calendar day; the combine runs in the map tasks."""
-    rows = _as_measures(events, spec, keys)
-    measures = [c for c in rows.columns if c not in keys and c != "event_day"]
-    return rows.groupBy(*keys, "event_day").agg(*[_merge(c) for c in measures])
+    totals = _totals(spec, lambda a, _: f"event_type = '{a}'", windows=False)
+    return _of(spec, events).groupBy(*keys, F.to_date("event_ts").alias("event_day")).agg(*totals)
+
+
+def timeline(days: DataFrame, per_day: DataFrame, keys: Sequence[str], frames: Callable[[Callable[[int | None], WindowSpec]], Sequence[Column]]) -> DataFrame:
+    """The anchor days of ``days`` (keys, anchor_day, _rows) with aggregates over what ``per_day`` (keys, event_day, measures) has before them.
+
+    ``frames`` gets a function from a number of days to the range frame of the 1 to that many
+    days before the row's own (None: all earlier days) and returns the aggregates. Event days of
+    keys without any anchor leave before the timelines are sorted.
+    """
+    keys = list(keys)
+    wanted = per_day.join(days.select(*keys).distinct(), keys, "left_semi").withColumnRenamed("event_day", "anchor_day")
+    line = days.unionByName(wanted, allowMissingColumns=True).withColumn("_at", F.unix_date("anchor_day"))
+
+    def before(n: int | None) -> WindowSpec:
+        return Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding if n is None else -n, -1)
+
+    return line.select(*keys, "anchor_day", "_rows", *frames(before)).where(F.col("_rows").isNotNull())
+
+
+def _over_days(spec: ActivitySpec, before: Callable[[int | None], WindowSpec]) -> list[Column]:
+    """The measures of every window over daily measures; of deviations the list of states."""
+    out = [F.sum(f"n_{a}").over(before(n)).alias(f"n_{a}_{n}") for a, windows in spec.counts.items() for n in windows]
+    out += [F.max(F.expr(f"CASE WHEN n_{a} > 0 THEN anchor_day END")).over(before(None)).alias(f"last_{a}") for a in spec.recency]
+    for a, windows in spec.amounts.items():
+        for n in windows:
+            out += [F.expr(f"{_MERGE[m]}({m}_{a})").over(before(n)).alias(f"{m}_{a}_{n}") for m in _AMOUNT_MEASURES if m != "v"]
+            out.append(F.collect_list(F.expr(_state(a))).over(before(n)).alias(f"_v_{a}_{n}"))  # a state per calendar day at most
+    return out
+
+
+def _many_days(days: DataFrame, per_day: DataFrame, keys: Sequence[str], spec: ActivitySpec) -> DataFrame:
+    """Totals of every window per (keys, anchor_day)."""
+    found = timeline(days, per_day, keys, lambda before: _over_days(spec, before))
+    lists = {f"v_{a}_{n}": F.expr(merged_deviations(f"_v_{a}_{n}")) for a, windows in spec.amounts.items() for n in windows}
+    return found.withColumns(lists) if lists else found
 
 
 def level_activity(
@@ -221,13 +280,7 @@ def level_activity(
         per_day = per_day.groupBy(*keys, "event_day").agg(*[_merge(c) for c in measures])
     else:
         per_day = daily(events.where(F.col(level.id).isNotNull()), spec, keys)
-    age = F.datediff("anchor_day", "event_day")
-    near = age >= 1
-    if spec.max_window is not None:
-        near = near & (age <= spec.max_window)
-    joined = days.join(per_day, keys).where(near)
-    partials = joined.groupBy(*keys, "anchor_day", "_rows").agg(*_window_partials(spec, "anchor_day"))
-    return _finish(partials, spec, level, [*keys, "anchor_day"], repeat)
+    return _finish(_many_days(days, per_day, keys, spec), spec, level, [*keys, "anchor_day"], repeat)
 
 
 def anchor_keys(anchors: DataFrame, level: Level | None) -> DataFrame:
@@ -283,14 +336,10 @@ def user_totals(
     days = anchors.groupBy("user_id", anchor_day().alias("anchor_day")).agg(F.count(F.lit(1)).alias("_rows"))
     repeat = "_rows" if repeat_anchor_rows else "1"
     if ref_date is not None:
-        rows = _as_measures(_bounded(events, spec, ref_date), spec, ["user_id"])
-        totals = rows.groupBy("user_id").agg(*_window_partials(spec, f"DATE'{ref_date}'"))
+        totals = _at_reference(events, spec, ref_date, ["user_id"])
         partials = days.where(F.col("anchor_day") == F.lit(ref_date).cast("date")).join(totals, "user_id")
     else:
-        age = F.datediff("anchor_day", "event_day")
-        near = (age >= 1) & (age <= spec.max_window)
-        joined = days.join(daily(events, spec, ["user_id"]), "user_id").where(near)
-        partials = joined.groupBy("user_id", "anchor_day", "_rows").agg(*_window_partials(spec, "anchor_day"))
+        partials = _many_days(days, daily(events, spec, ["user_id"]), ["user_id"], spec)
     cols = [f"coalesce(n_{a}_{n}, 0) * {repeat} AS {total_name(a, n)}" for a, windows in counts.items() for n in windows]
     return partials.selectExpr("user_id", "anchor_day", *cols)
 
@@ -345,18 +394,17 @@ def weighted_counts(
     return counts.selectExpr("user_id", *level.keys, "event_ts", f"{weighted(action, level, windows, weights)} AS {weighted_name(action, level)}")
 
 
-def population_stats(counts: DataFrame, level: Level, columns: Sequence[str], times: str = "1") -> DataFrame:
+def population_stats(counts: DataFrame, level: Level, columns: Sequence[str], times: str | None = None) -> DataFrame:
     """Mean and sample deviation of count columns per category, as ``_mean_<i>`` and ``_dev_<i>``.
 
-    A row stands for ``times`` anchors. Sums only, so a category holding a third of the
-    anchors is combined in the map tasks.
+    A row stands for ``times`` anchors. The built-in moments are merged over map tasks, so a category
+    holding a third of the anchors is combined there.
     """
-    out = []
-    for i, c in enumerate(columns):
-        x = f"CAST({c} AS DOUBLE)"
-        n, s, q = f"sum({times})", f"sum({x} * {times})", f"sum({x} * {x} * {times})"
-        out += [f"{s} / {n} AS _mean_{i}", f"CASE WHEN {n} > 1 THEN sqrt(greatest(({q} - {s} * {s} / {n}) / ({n} - 1), 0D)) END AS _dev_{i}"]
-    return counts.where(F.col(level.id).isNotNull()).groupBy(*level.keys).agg(*[F.expr(e) for e in out])
+    rows = counts.where(F.col(level.id).isNotNull())
+    if times is not None:
+        rows = rows.select(*level.keys, *columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    out = [f(F.col(c).cast("double")).alias(f"_{name}_{i}") for i, c in enumerate(columns) for name, f in (("mean", F.avg), ("dev", F.stddev_samp))]
+    return rows.groupBy(*level.keys).agg(*out)
 
 
 def standard_scores(named: Mapping[str, str]) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rekindle.levels import Level
-from rekindle.operators.activity import anchor_keys
+from rekindle.operators.activity import anchor_keys, timeline
 from rekindle.operators.joins import anchor_day
 
 
@@ -34,7 +34,7 @@ def category_counts(
     """
     keys = ["user_id", *level.keys]
     past = events.where(F.col("event_type").isin(list(actions)) & F.col(level.id).isNotNull())
-    per_day = past.groupBy(*keys, F.to_date("event_ts").alias("day")).agg(
+    per_day = past.groupBy(*keys, F.to_date("event_ts").alias("event_day")).agg(
         *[F.count(F.when(F.col("event_type") == a, 1)).alias(f"n_{a}") for a in actions]
     )
     if scope == "anchor":
@@ -48,9 +48,13 @@ def category_counts(
     else:
         rows = F.count(F.lit(1)) if repeat_anchor_rows else F.first(F.lit(1))
         days = anchors.groupBy(*sides, anchor_day().alias("anchor_day")).agg(rows.alias("_rows"))
-    joined = days.join(per_day, sides).where(F.col("day") < F.col("anchor_day"))
+    if scope == "all":  # every category of the user has a timeline with all the anchor days
+        days = days.join(per_day.select(*keys).distinct(), sides).select(*keys, "anchor_day", "_rows")
+    found = timeline(days, per_day, keys, lambda before: [F.sum(f"n_{a}").over(before(None)).alias(f"n_{a}") for a in actions])
     by = keys if pool_days else [*keys, "anchor_day"]
-    return joined.groupBy(*by).agg(*[F.sum(F.col(f"n_{a}") * F.col("_rows")).alias(f"n_{a}") for a in actions])
+    # a category without earlier events has no counts and does not count as one
+    some = found.where(F.coalesce(*[F.col(f"n_{a}") for a in actions]).isNotNull())
+    return some.groupBy(*by).agg(*[F.sum(F.col(f"n_{a}") * F.col("_rows")).alias(f"n_{a}") for a in actions])
 
 
 def user_entropy(counts: DataFrame, level: Level, actions: Sequence[str]) -> DataFrame:

@@ -143,3 +143,55 @@ def test_entropy_sees_no_later_event(spark):
         total = sum(counts.values())
         want = round(abs(-sum(n / total * log2(n / total) for n in counts.values())), 4) if total else -1
         assert value == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("ref", [None, "2024-01-20"])
+def test_variance_does_not_cancel(spark, ref):
+    """Large amounts that differ little, in one leaf, over leaves, over days and next to small ones."""
+    base = 1e8
+    history = [event(1, 5, "purchase", "2024-01-15", base + k) for k in range(3)]
+    history += [event(2, 5 + k, "purchase", "2024-01-15", base + k) for k in range(3)]
+    history += [event(3, 5, "purchase", f"2024-01-{14 + k}", base + k) for k in range(3)]
+    history += [event(4, 5, "purchase", "2024-01-15", 1e-3 * k) for k in range(3)] + [event(4, 6, "purchase", "2024-01-16", base + k) for k in range(3)]
+    history += [event(1, 5, "purchase", "2023-12-01", 1.0), event(5, 5, "purchase", "2024-01-15", base)]
+    events, anchors = frames(spark, history, [anchor(u, 5, "2024-01-20") for u in range(1, 6)])
+    for level in (LEAF, MID, ANY):
+        out = act.level_activity(anchors, events, level, act.ActivitySpec(amounts={"purchase": (7, 60)}), ref)
+        name = act.amount_name("var", level, 7)
+        got = {(r.user_id, *([r.level] if level == ANY else [])): r.asDict() for r in out.collect()}
+        for tag in ([()] if level != ANY else [("leaf",), ("mid",), ("top",)]):
+            leaf = level == LEAF or tag == ("leaf",)
+            assert got[1, *tag][name] == 1.0
+            assert got[2, *tag][name] == (-1.0 if leaf else 1.0)
+            assert got[3, *tag][name] == 1.0
+            amounts = [1e-3 * k for k in range(3)] + ([] if leaf else [base + k for k in range(3)])
+            assert got[4, *tag][name] == pytest.approx(variance(amounts), rel=1e-12)
+            assert got[5, *tag][name] == -1.0
+            longer = got[1, *tag][act.amount_name("var", level, 60)]
+            assert longer == pytest.approx(variance([base, base + 1, base + 2, 1.0]), rel=1e-12)
+
+
+def test_population_deviation_does_not_cancel(spark):
+    rows = [(u, 5, datetime(2024, 1, 20), 10**8 + u, 1 + u % 2) for u in range(3)]
+    df = spark.createDataFrame(rows, "user_id bigint, leaf_id bigint, event_ts timestamp, n bigint, times bigint")
+    assert act.population_stats(df, LEAF, ["n"]).first()._dev_0 == 1.0
+    weighted = act.population_stats(df, LEAF, ["n"], "times").first()
+    assert weighted._dev_0 == pytest.approx(stdev([0, 1, 1, 2])) and weighted._mean_0 == 10**8 + 1
+
+
+def test_a_user_with_many_days(spark):
+    """3,000 days of events and anchors of one key: one timeline of 6,000 rows."""
+    start = datetime(2015, 1, 1)
+    history = [event(1, 5, "view" if d % 3 else "purchase", start + timedelta(days=d, hours=5), float(d % 11)) for d in range(3000)]
+    events, anchors = frames(spark, history, [anchor(1, 5, start + timedelta(days=d, hours=1)) for d in range(0, 3000, 2)])
+    spec = act.ActivitySpec({"view": (7, 30)}, ("purchase",), {"purchase": (30,)})
+    got = {r.event_ts: r.asDict() for r in act.activity(anchors, events, LEAF, spec).collect()}
+    assert len(got) == 1500
+    for d in (0, 2, 4, 100, 1500, 2998):
+        r = got[start + timedelta(days=d, hours=1)]
+        earlier = range(d)
+        assert [r[act.count_name("view", LEAF, n)] for n in (7, 30)] == [sum(k % 3 > 0 for k in earlier if d - k <= n) for n in (7, 30)]
+        bought = [k for k in earlier if k % 3 == 0]
+        assert r[act.recency_name("purchase", LEAF)] == (d - max(bought) if bought else -1)
+        near = [float(k % 11) for k in bought if d - k <= 30]
+        assert r[act.amount_name("var", LEAF, 30)] == pytest.approx(variance(near) if len(near) > 1 else -1.0)

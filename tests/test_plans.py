@@ -12,6 +12,7 @@ from rekindle.config import Config, EventLimits, Filters, Sampling
 from rekindle.levels import LEAF, LEVELS
 from rekindle.operators import activity as act
 from rekindle.operators import intervals
+from rekindle.operators.entropy import category_counts
 from rekindle.plans import features as feat
 from rekindle.plans.histories import Tables, user_timeline
 from rekindle.sources.supplied import Supplied
@@ -100,6 +101,19 @@ def test_events_are_combined_before_the_shuffle(spark, supplied):
     assert "partial_sum" in plan
 
 
+@pytest.mark.parametrize("build", [
+    lambda a, e: act.level_activity(a, e, LEAF, act.ActivitySpec({"view": (7, 14)}, ("view",), {"purchase": (7,)})),
+    lambda a, e: act.user_totals(a, e, {"view": (7, 14)}),
+    lambda a, e: category_counts(a, e, LEAF, ["view"]),
+])
+def test_many_days_pair_no_days(spark, supplied, build):
+    """Windows over many anchor days are range frames; the one join only drops keys without anchors."""
+    anchors = supplied.actions().where("event_type = 'click'").select("user_id", "leaf_id", "mid_id", "top_id", "event_ts")
+    plan = plan_of(build(anchors, supplied.actions()))
+    assert "RangeFrame" in plan
+    assert not re.search(r"Join.*Inner|CartesianProduct|BroadcastNestedLoopJoin|Python", plan)
+
+
 def test_interval_plan_has_no_pair_join(spark, supplied):
     e = supplied.actions()
     out = intervals.views_between_purchases(reference_anchors(supplied), e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), LEAF)
