@@ -1,5 +1,7 @@
 """Sampling, labels, cohorts, splits, top-k, windows and set operations."""
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -63,7 +65,8 @@ def _(t):
       AND {sql_unit('user_id')} < 0.5 GROUP BY user_id HAVING COUNT(*) >= 3""",
 )
 def _(t):
-    return labels.select_cohort(t.order_lines(), ORDER_CONFIG)
+    half = replace(ORDER_CONFIG, filters=replace(ORDER_CONFIG.filters, sample_fraction=0.5))
+    return labels.select_cohort(t.order_lines(), half)
 
 
 @query(

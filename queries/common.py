@@ -19,12 +19,12 @@ START = "2024-01-01"
 END = "2024-01-31"
 WINDOWS = (1, 2, 5, 7, 14)
 CONFIG = Config(
-    filters=Filters(START, END, (0,), min_purchases=3, sample_fraction=0.5),
+    filters=Filters(START, END, (0,), min_purchases=3),
     sampling=Sampling(REF, fraction=0.5, max_samples=800),
     limits=EventLimits(8, 8, 6, 5, 4, 12),
 )
 ORDER_CONFIG = Config(
-    filters=Filters("1997-01-01", "2001-12-31", (0,), min_purchases=3, sample_fraction=0.5),
+    filters=Filters("1997-01-01", "2001-12-31", (0,), min_purchases=3),
     sampling=Sampling("2000-01-01", fraction=0.5, max_samples=800),
     limits=EventLimits(20, 8, 6, 5, 4, 24),
 )

@@ -13,16 +13,11 @@ from rekindle.operators.topk import shortest_value
 # --- fixed values ---------------------------------------------------------------------
 VALID_NAMESPACES = ("df",)
 BLOCKED_ATTRIBUTES = (
-    "mergednamespacenames", "maturityscore", "isprplinkenabled", "lhexposetotse", "seller-selected-epid",
-    "non-domestic product", "modified item", "upc", "producttitle", "ean", "savedautotagprodrefid",
-    "gtin", "california prop 65 warning", "catrecoscore_1", "catrecoscore_2", "catrecoscore_3",
-    "catrecoid_1", "catrecoid_2", "catrecoid_3", "miscatscore", "p2sprobability", "miscatscore_v1",
-    "uom1", "uom2", "mpn", "uom3", "productimagezoomguid", "manufacturer part number", "isbn-13", "isbn-10",
-    "other part number", "miscatscore_cf_v1", "isclplinkenabled", "oe/oem part number", "features", "model",
-    "ks", "number in pack", "item height", "item length", "item width", "item weight",
-    "number of items in set", "food aisle", "width", "length", "items included", "custom bundle", "volume",
-    "period after opening (pao)", "featured refinements", "set includes",
-)  # a marketplace adds the names of its own catalogue ids through the `blocked` argument
+    "non-domestic product", "modified item", "upc", "ean", "gtin", "california prop 65 warning", "mpn",
+    "manufacturer part number", "isbn-13", "isbn-10", "other part number", "oe/oem part number", "features", "model",
+    "number in pack", "item height", "item length", "item width", "item weight", "number of items in set", "food aisle",
+    "width", "length", "items included", "custom bundle", "volume", "period after opening (pao)", "set includes",
+)  # a shop adds the names of its own ids, scores and flags through the `blocked` argument
 # --------------------------------------------------------------------------------------
 
 

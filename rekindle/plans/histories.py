@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rekindle.config import Config
@@ -189,6 +189,8 @@ def timeline_events(t: Tables, config: Config, parity: bool = False) -> DataFram
     for limit, build in ((lim.max_views, view_history), (lim.max_searches, search_history), (lim.max_home_events, home_events)):
         if limit != 0:
             parts.append(build(t, users, config, parity))
+    if not parts:
+        raise ValueError("every history is switched off by a limit of 0")
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part, allowMissingColumns=True)
@@ -201,34 +203,72 @@ def _bound(config: Config) -> int:
         return lim.max_events
     each = (lim.max_purchases, lim.max_views, lim.max_searches, lim.max_home_events)
     if any(k is None for k in each):
-        raise ValueError("a nested history needs max_events or a limit per action; use timeline_events for unbounded ones")
+        raise ValueError("a nested history needs max_events, a limit per action or a chunk size")
     return sum(each)
 
 
-def user_timeline(t: Tables, config: Config, parity: bool = False) -> DataFrame:
+def numbered(events: DataFrame, order: Sequence[Column], latest_first: bool = False) -> DataFrame:
+    """``events`` with ``_nr``, the row's number from 0 in its user's history, by event_ts and then ``order``.
+
+    A day's rows are ordered by themselves and start after the number of rows on the days before,
+    so however long a history is, only one day of it is in one task.
+    """
+    dated = events.withColumn("_day", F.to_date("event_ts"))
+    sizes = dated.groupBy("user_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    day, time = (F.col("_day").desc(), F.col("event_ts").desc()) if latest_first else (F.col("_day"), F.col("event_ts"))
+    ahead = Window.partitionBy("user_id").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    offsets = sizes.select("user_id", F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead")).withColumnRenamed("user_id", "_u")
+    within = F.row_number().over(Window.partitionBy("user_id", "_day").orderBy(time, *order))
+    placed = dated.withColumn("_within", within - 1)
+    joined = placed.join(offsets, (F.col("user_id") == F.col("_u")) & (F.col("_day") == F.col("_d")))
+    return joined.withColumn("_nr", F.col("_ahead") + F.col("_within")).drop("_day", "_d", "_u", "_ahead", "_within")
+
+
+def chunks(events: DataFrame, columns: Sequence[str], order: Sequence[Column], size: int, name: str, latest_first: bool = False) -> DataFrame:
+    """(user_id, chunk, ``name``): each history in arrays of ``size`` events, the last one shorter; no row grows with its user."""
+    placed = numbered(events, order, latest_first)
+    number = F.floor(F.col("_nr") / size).cast("bigint").alias("chunk")
+    return placed.groupBy("user_id", number).agg(nested_events(list(columns), ["_nr"]).alias(name))
+
+
+def user_timeline(t: Tables, config: Config, parity: bool = False, chunk: int | None = None) -> DataFrame:
     """One row per user with the events, latest first, as an array of structs.
 
-    The array is bounded by the configured limits; without one the call is refused
-    because a single row could hold any number of events.
+    The array is bounded by the configured limits; without one the call is refused, because a
+    single row could hold any number of events. With ``chunk`` there is no need for limits: a
+    user's events fill rows of that many, numbered by a column ``chunk`` from 0.
     """
-    _bound(config)
+    if chunk is None:
+        _bound(config)
     flat = timeline_events(t, config, parity)
     columns = [c for c in flat.columns if c != "user_id"]
+    if chunk is not None:
+        flat = cut_lineage(flat)
+        return chunks(flat, columns, [F.col("event_type"), F.col("item_id")], chunk, "events", latest_first=True)
     age = -F.unix_micros(F.col("event_ts").cast("timestamp"))
     return flat.withColumn("_age", age).groupBy("user_id").agg(
         nested_events(columns, ["_age", "event_type", "item_id"]).alias("events")
     )
 
 
-def history_json(anchors: DataFrame, histories: dict[str, DataFrame]) -> DataFrame:
+def history_json(anchors: DataFrame, histories: dict[str, DataFrame], chunk: int | None = None) -> DataFrame:
     """Anchors of users present in every history, each history as a JSON array per user.
 
-    The histories must be bounded per user, as the builders above return them.
+    Without ``chunk`` the histories must be bounded per user, as the builders above return them. With it
+    an anchor has a row for each chunk of that many events, numbered by a column ``chunk``; a
+    history that has ended before is null there.
     """
     out = anchors
+    packed: DataFrame | None = None
     for name, events in histories.items():
         columns = ["event_ts", *[c for c in events.columns if c not in ("event_ts", "user_id")]]
-        order = [c for c in ("event_ts", "event_type", "item_id") if c in columns]
-        packed = events.groupBy("user_id").agg(F.to_json(nested_events(columns, order)).alias(name))
-        out = out.join(packed, "user_id")
-    return out
+        order = [c for c in ("event_type", "item_id") if c in columns]
+        if chunk is None:
+            own = events.groupBy("user_id").agg(F.to_json(nested_events(columns, ["event_ts", *order])).alias(name))
+            out = out.join(own, "user_id")
+        else:
+            stored = cut_lineage(events)
+            out = out.join(stored.select("user_id").distinct(), "user_id", "left_semi")
+            own = chunks(stored, columns, [F.col(c) for c in order], chunk, name).withColumn(name, F.to_json(name))
+            packed = own if packed is None else packed.join(own, ["user_id", "chunk"], "full")
+    return out if packed is None else out.join(packed, "user_id")
