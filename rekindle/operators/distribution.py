@@ -1,9 +1,9 @@
 """Exact quantiles, running totals and histograms of long (group, value) frames.
 
 Nothing here gathers a whole feature in one task. Values are first reduced to distinct
-values with counts; approximate quantiles then only choose where to cut the value range
-into buckets, and exact counts decide everything else. The distinct values are stored
-once, because borders, bucket sums and ranks all read them.
+values with counts; these rows are dealt out by range of (group, value) into as many buckets
+as their number asks for, so that a bucket is bounded at every size however the values
+are distributed and whatever their counts. Exact counts per bucket give the offsets, so ranks are exact.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from rekindle.session import cut_lineage
 
+#: Distinct values that one task sorts at most.
+ROWS_PER_BUCKET = 250_000
+
 
 def unpivot_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Wide matrix to rows (keep…, feature, value)."""
@@ -29,58 +32,55 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str = "value", measure
     return kept.groupBy(*by, value).agg(*[m.alias(k) for k, m in measures.items()])
 
 
-def _with_bucket(counts: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Add ``_bucket``: how many cut points lie below the value."""
-    cut = F.percentile_approx(value, list(shares), 1000).alias("_cuts")
-    if by:
-        keyed, cuts = list(by), counts.groupBy(*by).agg(cut)
-    else:  # a single row
-        keyed, cuts = ["_all"], counts.agg(cut).withColumn("_all", F.lit(0))
-        counts = counts.withColumn("_all", F.lit(0))
-    # every eighth cut first, then the cuts in between: few comparisons per row
-    step = 8
-
-    def below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda c: c < F.col(value)))
+def range_buckets(counts: DataFrame, by: Sequence[str], value: str = "value", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The rows of ``counts`` (by, value, measures; distinct values), stored with a ``_bucket`` that rises with (by, value).
 
-    coarse = F.filter("_cuts", lambda c, i: (i + 1) % step == 0)
-    joined = counts.join(cuts.withColumn("_coarse", coarse), keyed).withColumn("_c", below(F.col("_coarse")))
-    fine = below(F.slice("_cuts", F.col("_c") * step + 1, F.lit(step)))
-    return joined.withColumn("_bucket", F.col("_c") * step + fine).drop("_cuts", "_coarse", "_c")
+    The rows decide the number of buckets, and Spark's range partitioner, which samples them, the
+    borders. It is asked for buckets of half the bound, and any that is still above it is cut again
+    in the same way, so none is above ``rows_per_bucket``.
+    """
+    keys = [*by, value]
+    left, done = cut_lineage(counts).withColumn("_bucket", F.array().cast("array<int>")), None
+    rows = left.count()
+    while rows > rows_per_bucket:
+        dealt = left.repartitionByRange(-(-2 * rows // rows_per_bucket), "_bucket", *keys)
+        dealt = cut_lineage(dealt.withColumn("_bucket", F.concat("_bucket", F.array(F.spark_partition_id()))))
+        large = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_bucket).select("_bucket")
+        fit = dealt.join(large, "_bucket", "left_anti").select(dealt.columns)
+        done = fit if done is None else done.union(fit)
+        left = cut_lineage(dealt.join(large, "_bucket", "left_semi").select(dealt.columns))
+        rows = left.count()
+    return left if done is None else done.union(left)
 
 
 def running_totals(
-    counts: DataFrame, by: Sequence[str], value: str, measures: Sequence[str], descending: bool = False, buckets: int = 64
+    counts: DataFrame, by: Sequence[str], value: str, measures: Sequence[str], descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Running sums of ``measures`` over the sorted distinct values, as ``cum_<measure>``.
 
-    Rows are ordered inside value buckets only; bucket totals, at most ``buckets`` + 1 rows
-    per group, supply the offsets.
+    Rows are ordered inside range buckets only; bucket totals supply the offsets.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    rows = _with_bucket(cut_lineage(counts), by, value, shares)
-    keyed = list(by) or ["_all"]
+    rows = range_buckets(counts, by, value, rows_per_bucket)
     first, then = (F.col("_bucket").desc(), F.col(value).desc()) if descending else (F.col("_bucket"), F.col(value))
-    sums = rows.groupBy(*keyed, "_bucket").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
-    order = Window.partitionBy(*keyed).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keyed, "_bucket", *[F.coalesce(F.sum(f"_s_{m}").over(order), F.lit(0)).alias(f"_o_{m}") for m in measures])
-    inside = Window.partitionBy(*keyed, "_bucket").orderBy(then).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, [*keyed, "_bucket"])
+    sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    offsets = sums.select(*by, "_bucket", *[F.coalesce(F.sum(f"_s_{m}").over(order), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(then).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(offsets, [*by, "_bucket"])
     out = joined.withColumns({f"cum_{m}": F.col(f"_o_{m}") + F.sum(m).over(inside) for m in measures})
-    return out.drop("_bucket", "_all", *[f"_o_{m}" for m in measures])
+    return out.drop("_bucket", *[f"_o_{m}" for m in measures])
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], shares: Sequence[float], value: str = "value", margin: float = 0.005) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], shares: Sequence[float], value: str = "value", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Linear-interpolation quantiles per group, one ``p<percent>`` column per share.
 
-    The value range is cut a little below and above every wanted quantile. Bucket counts
-    tell which bucket holds each wanted rank, and only those buckets are ranked.
+    Bucket counts tell which bucket holds each wanted rank, and only those buckets are ranked.
     """
     by = list(by)
-    counts = cut_lineage(value_counts(df, by, value))
-    around = sorted({min(max(p + d, 0.0), 1.0) for p in shares for d in (-margin, margin)})
-    rows = _with_bucket(counts, by, value, around)
+    rows = range_buckets(value_counts(df, by, value), by, value, rows_per_bucket)
     keyed = by or ["_all"]
+    if not by:
+        rows = rows.withColumn("_all", F.lit(0))
     sums = rows.groupBy(*keyed, "_bucket").agg(F.sum("n").alias("_n"))
     whole = Window.partitionBy(*keyed)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -21,10 +21,10 @@ def long_frame(spark):
     return spark.createDataFrame(rows, "feature string, value double")
 
 
-@pytest.mark.parametrize("margin", [0.005, 0.0])
-def test_quantiles_are_exact(spark, margin):
+@pytest.mark.parametrize("bound", [dist.ROWS_PER_BUCKET, 300])
+def test_quantiles_are_exact(spark, bound):
     shares = (0.0, 0.05, 0.25, 0.5, 0.9, 0.95, 1.0)
-    got = {r.feature: list(r[1:]) for r in dist.exact_quantiles(long_frame(spark), ["feature"], shares, margin=margin).collect()}
+    got = {r.feature: list(r[1:]) for r in dist.exact_quantiles(long_frame(spark), ["feature"], shares, rows_per_bucket=bound).collect()}
     for k, v in SHAPES.items():
         assert got[k] == pytest.approx([np.quantile(v, p) for p in shares])
     whole = dist.exact_quantiles(long_frame(spark), [], (0.5,)).first()
@@ -34,13 +34,31 @@ def test_quantiles_are_exact(spark, margin):
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, descending):
     counts = dist.value_counts(long_frame(spark), ["feature"])
-    rows = dist.running_totals(counts, ["feature"], "value", ["n"], descending, buckets=8).collect()
+    rows = dist.running_totals(counts, ["feature"], "value", ["n"], descending, rows_per_bucket=400).collect()
     for k, v in SHAPES.items():
         values, n = np.unique(v, return_counts=True)
         want = dict(zip(values, n[::-1].cumsum()[::-1] if descending else n.cumsum()))
         assert {r.value: r.cum_n for r in rows if r.feature == k} == want
 
 
+def test_buckets_are_bounded_and_grow_in_number(spark):
+    """A column with one popular range, a continuous one and many copies of few values."""
+    g = np.random.default_rng(8)
+    columns = {"peak": np.concatenate([g.normal(size=4000) * 1e-9, g.normal(size=200) * 1e9]), "even": g.random(3000), "few": g.integers(0, 5, 20_000).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, values in columns.items() for v in values], "feature string, value double").repartition(6)
+    numbers = []
+    for bound in (2000, 250):
+        rows = dist.range_buckets(dist.value_counts(df, ["feature"]), ["feature"], "value", bound).collect()
+        sizes = {}
+        for r in rows:
+            sizes[tuple(r._bucket)] = sizes.get(tuple(r._bucket), 0) + 1
+        assert len(rows) == 7205 and max(sizes.values()) <= bound
+        numbers.append(len(sizes))
+        ordered = sorted(rows, key=lambda r: (r.feature, r.value))
+        assert [r._bucket for r in ordered] == sorted(r._bucket for r in rows)
+    assert numbers[1] > 3 * numbers[0]
+
+
 @pytest.mark.parametrize("own", [False, True])
 def test_divergence_matches_numpy(spark, own):
     a, b = rng.normal(size=800), rng.normal(1, 2, size=600)
