@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from queries.common import REF, WITH_REF, query, ref_anchors, sql_rounded
+from queries.common import REF, WITH_REF, query, ref_anchors, sql_rounded, sql_unit
 from queries.features import labelled_mid
 from rekindle.config import PROFILE_QUANTILES
 from rekindle.levels import MID
-from rekindle.operators import distribution, metrics, model, profiles
+from rekindle.operators import distribution, metrics, model, profiles, single
 from rekindle.operators.activity import count_name
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "gap", "value"]
@@ -247,7 +247,15 @@ def _(t):
     return profiles.t_test(scored_lines(t), FEATURES, "label")
 
 
-@query("y12_t_test_p_values")
+#: The share of cos(w)^(f - 1) beyond w = atan(|t| / sqrt(f)), by Simpson's rule over u = w * sqrt(f) up to where nothing is left.
+P_SQL = f"""WITH t AS ({T_SQL}), k AS (SELECT unnest(range(4001)) AS k),
+  e AS (SELECT *, atan(abs(t_statistic) / sqrt(degrees_of_freedom)) * sqrt(degrees_of_freedom) AS u0, least(acos(0.0) * sqrt(degrees_of_freedom) - 1e-9, 16) AS u1 FROM t),
+  p AS (SELECT feature, least(u0, u1) AS u0, u1, degrees_of_freedom AS f, k, CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w FROM e, k),
+  i AS (SELECT feature, sum(w * exp((f - 1) * ln(cos((u0 + (u1 - u0) * k / 4000) / sqrt(f))))) * any_value(u1 - u0) AS tail, sum(w * exp((f - 1) * ln(cos(u1 * k / 4000 / sqrt(f))))) * any_value(u1) AS whole FROM p GROUP BY feature)
+  SELECT feature, t_statistic, degrees_of_freedom, tail / whole AS p_value FROM e JOIN i USING (feature)"""
+
+
+@query("y12_t_test_p_values", sql_rounded(P_SQL, ["t_statistic", "p_value"]))
 def _(t):
     return profiles.t_test_p_values(scored_lines(t), FEATURES, "label")
 
@@ -290,7 +298,39 @@ def _(t):
 @query("y17_single_feature_models")
 def _(t):
     train, test = _train_eval(t)
-    return model.single_feature_models(train, test, ["l_quantity", "gap"], "label", model.TreeParams(trees=2, depth=2))
+    return single.single_feature_models(train, test, ["l_quantity", "gap", "l_extendedprice"], "label", single.BoostParams(trees=20, depth=2))
+
+
+STUMP = single.BoostParams(trees=1, depth=1, learning_rate=0.5)
+_UNIT = sql_unit("l_orderkey", "l_partkey", "l_linenumber")
+#: Features with at most 64 values: a bin is a value, and missing ones come first.
+STUMPS = f"""WITH {ROWS}, x AS (SELECT *, {_UNIT} AS unit FROM s),
+  l AS (SELECT feature, v, label, unit FROM ({" UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v, pred AS label, unit FROM x" for f in ("l_quantity", "gap", "l_discount"))})),
+  n AS (SELECT feature, v, CAST(SUM(label) AS DOUBLE) AS pos, CAST(SUM(1 - label) AS DOUBLE) AS neg FROM l WHERE unit < 0.7 GROUP BY ALL),
+  a AS (SELECT feature, SUM(pos) AS p, SUM(neg) AS q, LN((SUM(pos) + 0.5::DOUBLE) / (SUM(neg) + 0.5::DOUBLE)) AS prior FROM n GROUP BY feature),
+  g AS (SELECT feature, v, prior, pos - (pos + neg) / (1 + EXP(-prior)) AS gr, (pos + neg) / (1 + EXP(-prior)) * (1 - 1 / (1 + EXP(-prior))) AS he FROM n JOIN a USING (feature)),
+  c AS (SELECT *, COALESCE(SUM(gr) OVER w, 0) AS gl, COALESCE(SUM(he) OVER w, 0) AS hl, SUM(gr) OVER (PARTITION BY feature) AS ga, SUM(he) OVER (PARTITION BY feature) AS ha
+    FROM g WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  d AS (SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain FROM c WHERE hl > 0),
+  r AS (SELECT * FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY feature ORDER BY gain DESC, v) = 1)"""
+
+
+@query("y17_first_splits", sql_rounded(f"{STUMPS} SELECT feature, v AS first_right, gain FROM r", ["first_right", "gain"]))
+def _(t):
+    cuts, bins = single.fit(_train_eval(t)[0], ["l_quantity", "gap", "l_discount"], "pred", STUMP)
+    value = F.element_at("cuts", F.col("root_bin"))
+    return bins.select("feature", "root_bin", "root_gain").distinct().join(cuts, "feature").select("feature", value.alias("first_right"), F.col("root_gain").alias("gain"))
+
+
+_STUMP_ROWS = """(SELECT feature, label, CAST(prior + 0.5::DOUBLE * CASE WHEN l.v < r.v THEN gl / (hl + 1) ELSE (ga - gl) / (ha - hl + 1) END > 0 AS INT) AS pred FROM l JOIN r USING (feature) WHERE unit >= 0.8)"""
+_CELLS = ", ".join(f"COUNT(CASE WHEN label = {y} AND pred = {p} THEN 1 END) AS {k}" for k, y, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0)))
+
+
+@query("y17_single_feature_stumps", f"{STUMPS} SELECT feature, {_CELLS} FROM {_STUMP_ROWS} GROUP BY feature")
+def _(t):
+    train, test = _train_eval(t)
+    out = single.single_feature_models(train, test, ["l_quantity", "gap", "l_discount"], "pred", STUMP)
+    return out.select("feature", "tp", "fp", "fn", "tn")
 
 
 @query(

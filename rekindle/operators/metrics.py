@@ -45,7 +45,12 @@ def _rates() -> dict[str, Column]:
 def binary_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
     """One row: confusion counts and the six headline metrics. AUC is null when a class is missing."""
     counts = df.agg(*[c.alias(k) for k, c in confusion(label, pred).items()])
-    return counts.select("tp", "fp", "fn", "tn", *[c.alias(k) for k, c in _rates().items()])
+    return counts.select(*metric_columns())
+
+
+def metric_columns() -> list[Column]:
+    """The confusion counts and the headline metrics, from columns tp, fp, fn and tn."""
+    return [*map(F.col, ("tp", "fp", "fn", "tn")), *[c.alias(k) for k, c in _rates().items()]]
 
 
 def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rekindle.operators.metrics import binary_metrics
-
 
 @dataclass(frozen=True)
 class TreeParams:
@@ -60,13 +58,3 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark) ->
 def top_features(importance: DataFrame, n: int) -> DataFrame:
     """The n most important features."""
     return importance.orderBy(F.col("importance").desc(), "feature").limit(n)
-
-
-def single_feature_models(train_df: DataFrame, eval_df: DataFrame, features: Sequence[str], label: str, params: TreeParams = TreeParams()) -> DataFrame:
-    """Metrics of a model per single feature; the loop runs over names, each fit is a Spark job."""
-    out = None
-    for f in features:
-        _, scored = train_and_score(train_df, eval_df, [f], label, params)
-        row = binary_metrics(scored, label, "pred").withColumn("feature", F.lit(f))
-        out = row if out is None else out.unionByName(row)
-    return out

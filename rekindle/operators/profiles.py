@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rekindle.config import PROFILE_QUANTILES
+from rekindle.functions.special import student_two_sided
 from rekindle.operators.distribution import exact_quantiles, unpivot_features
 
 
@@ -133,39 +132,9 @@ def t_test(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
     return s.select("feature", t.alias("t_statistic"), freedom.alias("degrees_of_freedom"))
 
 
-def _student_two_sided(t: float, freedom: float) -> float:
-    """P(|T| >= |t|) as a regularised incomplete beta, by its continued fraction (Lentz)."""
-    a, b, x = freedom / 2, 0.5, freedom / (freedom + t * t)
-    if x >= 1:
-        return 1.0
-    mirrored = x > (a + 1) / (a + b + 2)
-    if mirrored:
-        a, b, x = b, a, 1 - x
-    scale = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-    fraction = d
-    for m in range(1, 2000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1 / (1 + term * d)
-            c = 1 + term / c
-            fraction *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    area = math.exp(scale) * fraction / a
-    return 1 - area if mirrored else area
-
-
 def t_test_p_values(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
-    """:func:`t_test` with the two-sided p-value; Python sees one row per feature."""
-
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, freedom: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) else _student_two_sided(a, b) for a, b in zip(t, freedom)], dtype="float64")
-
-    tested = t_test(df, features, group)
-    return tested.withColumn("p_value", p_value("t_statistic", F.col("degrees_of_freedom").cast("double")))
+    """:func:`t_test` with the two-sided p-value."""
+    return t_test(df, features, group).withColumn("p_value", student_two_sided(F.col("t_statistic"), F.col("degrees_of_freedom")))
 
 
 def label_correlation(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

@@ -1,11 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rekindle.functions import arrays, maps, text
 from rekindle.functions.hashing import stable_hash, stable_unit
-from rekindle.operators.profiles import _student_two_sided
+from rekindle.functions.special import student_two_sided
 
 
 def one(spark, col):
@@ -88,6 +89,24 @@ def test_hash_is_stable(spark):
     assert abs(spread[0] - 0.5) < 0.03 and 0 <= spread[1] and spread[2] < 1
 
 
-@pytest.mark.parametrize("t, df, p", [(2.0, 10, 0.07338803), (0.5, 3, 0.65144796), (-2.0, 10, 0.07338803), (1.96, 1e6, 0.0499960), (0.0, 5, 1.0)])
-def test_student_tail(t, df, p):
-    assert _student_two_sided(t, df) == pytest.approx(p, abs=1e-6)
+def tail_by_integration(t, freedom, steps=200_000):
+    """Share of cos(w)^(freedom - 1) beyond atan(|t| / sqrt(freedom)), by the midpoint rule."""
+    end = math.pi / 2
+    begin = math.atan(abs(t) / math.sqrt(freedom))
+
+    def area(a):
+        width = (min(end, a + 60 / math.sqrt(freedom)) - a) / steps
+        w = a + (np.arange(steps) + 0.5) * width
+        return float(np.exp((freedom - 1) * np.log(np.cos(w))).sum() * width)
+
+    return area(begin) / area(0.0)
+
+
+def test_student_tail(spark):
+    rows = [(t, f) for f in (1, 2, 3, 10, 57, 1000, 10**6) for t in (0.0, 1e-6, 0.3, -1.0, 1.96, 2.0, 7.5, 30.0)]
+    df = spark.createDataFrame([(float(t), float(f)) for t, f in rows] + [(None, 3.0), (1.0, 0.0), (1.0, None), (1.96, 1e10), (6.0, 3e9)], "t double, f double")
+    out = [r.p for r in df.select(student_two_sided(F.col("t"), F.col("f")).alias("p")).collect()]
+    for (t, f), p in zip(rows, out):
+        assert p == pytest.approx(tail_by_integration(t, f), rel=1e-5, abs=1e-300), (t, f)
+    assert out[len(rows) : len(rows) + 3] == [None, None, None]
+    assert out[-2:] == [pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6) for t in (1.96, 6.0)]
