@@ -76,4 +76,4 @@ def student_two_sided(t: Column, freedom: Column) -> Column:
     fraction = _beta_fraction(F.when(mirrored, half).otherwise(a), F.when(mirrored, a).otherwise(half), F.when(mirrored, rest).otherwise(x))
     area = front * fraction / F.when(mirrored, half).otherwise(a)
     value = F.when(mirrored, 1 - area).otherwise(area)
-    return F.when(t.isNull() | ~(freedom > 0), None).when(t == 0, 1.0).otherwise(value)
+    return F.when(t.isNull() | ~F.coalesce(freedom > 0, F.lit(False)), None).when(t == 0, 1.0).otherwise(value)
