@@ -64,10 +64,14 @@ def _(t):
     return per_level(lambda lv: act.activity(ref_anchors(t), t.actions(), lv, _spec(), repeat_anchor_rows=True))
 
 
-LAST = ", ".join(
-    f"CAST(COALESCE(date_diff('day', CAST(MAX(CASE WHEN e.event_type = '{x}' THEN e.event_ts END) AS DATE), CAST(a.event_ts AS DATE)), -1) AS INTEGER) AS f_time_since_last_{x}_from"
-    for x in ("view", "purchase")
-)
+def last_sql(actions) -> str:
+    return ", ".join(
+        f"CAST(COALESCE(date_diff('day', CAST(MAX(CASE WHEN e.event_type = '{x}' THEN e.event_ts END) AS DATE), CAST(a.event_ts AS DATE)), -1) AS INTEGER) AS f_time_since_last_{x}_from"
+        for x in actions
+    )
+
+
+LAST = last_sql(("view", "purchase"))
 
 
 @query("g2_days_since_last", levels_sql(f"{HEAD}, {LAST} FROM {JOINED} {TAIL}", WITH_REF))
@@ -99,11 +103,15 @@ def _(t):
     return per_level(lambda lv: act.amount_stats(click_anchors(t), t.actions(), lv, "purchase", (7, 14)))
 
 
-TOTALS = f"""(SELECT a.user_id, a.event_ts, {", ".join(f"COUNT(CASE WHEN {AGE} <= {n} THEN 1 END) AS t{n}" for n in WINDOWS)}
+def totals_sql(windows) -> str:
+    return f"""(SELECT a.user_id, a.event_ts, {", ".join(f"COUNT(CASE WHEN {AGE} <= {n} THEN 1 END) AS t{n}" for n in windows)}
   FROM (SELECT DISTINCT user_id, event_ts FROM anchors) a LEFT JOIN actions e ON e.user_id = a.user_id AND e.event_type = 'view' AND {AGE} >= 1
   GROUP BY a.user_id, a.event_ts)"""
 
 
+TOTALS = totals_sql(WINDOWS)
+
+
 def _norm_sql() -> str:
     cols = ", ".join(
         f"CASE WHEN t{n} > 0 THEN ROUND(f_num_views_from_in_last_{n}_days / t{n}, 5) ELSE -1.0 END AS f_norm_num_views_from_in_last_{n}_days" for n in WINDOWS

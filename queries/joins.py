@@ -32,19 +32,17 @@ def flagship(t: Supplied) -> DataFrame:
     return label_reinterest(matrix, t.views(), REF)
 
 
-def _matrix_sql(prelude: str, labelled: bool = True) -> str:
+def _matrix_sql(prelude: str, labelled: bool = True, g: FeatureGrid = MONTH_GRID, names: str = NAMES) -> str:
     """Every family of the grid by plain joins, side by side per level."""
-    g = MONTH_GRID
     ctes, joins, cols, doubles = [], [], [], []
-    swap = (("'view'", "'purchase'"), ("f_num_views", "f_num_purchases"), ("f_entropy_for_views", "f_entropy_for_purchases"))
 
     def of(action: str, text: str) -> str:
-        for a, b in swap if action == "purchase" else ():
+        for a, b in (("'view'", f"'{action}'"), ("f_num_views", f"f_num_{action}s"), ("f_entropy_for_views", f"f_entropy_for_{action}s")):
             text = text.replace(a, b)
         return text
 
     for a in g.actions:
-        ctes.append(f"tot_{a} AS (SELECT * FROM {of(a, ft.TOTALS)})")
+        ctes.append(f"tot_{a} AS (SELECT * FROM {of(a, ft.totals_sql(g.norm_windows))})")
         joins.append(f"JOIN tot_{a} ON tot_{a}.user_id = a.user_id AND tot_{a}.event_ts = a.event_ts")
     for lv in g.levels:
         def family(name: str, template: str, lv=lv) -> str:
@@ -67,8 +65,8 @@ def _matrix_sql(prelude: str, labelled: bool = True) -> str:
         def num(a: str, n: int, c=c) -> str:
             return f"{c}.f_num_{a}s_from_in_last_{n}_days"
 
-        r = family("rec", f"{ft.HEAD}, {ft.LAST} FROM {ft.JOINED} {ft.TAIL}")
-        m = family("amt", f"{ft.HEAD}, {ft.AMOUNTS} FROM {ft.JOINED} {ft.TAIL}")
+        r = family("rec", f"{ft.HEAD}, {ft.last_sql(g.actions)} FROM {ft.JOINED} {ft.TAIL}")
+        m = family("amt", f"{ft.HEAD}, {ft.AMOUNTS} FROM {ft.JOINED} {ft.TAIL}") if g.amount_windows else ""
         for a in g.actions:
             for n in g.count_windows:
                 add(num(a, n), act.count_name(a, lv, n))
@@ -80,7 +78,7 @@ def _matrix_sql(prelude: str, labelled: bool = True) -> str:
             e = family(f"ent_{a}", of(a, ft.DAY_ENTROPY))
             add(f"{e}.f_entropy_for_{a}s", f"f_entropy_for_{lv.name}_cat_{a}s", True)
             pool = f"SELECT DISTINCT a.user_id, a.{lv.id}, a.event_ts, n.{lv.label} FROM anchors a JOIN names n USING (leaf_id)"
-            sims = ft.similarity_sql(lv, a, g.similarity_windows, "word", lv.label, lv.label, ("user_id", lv.id, "event_ts"), f"{lv.name}_cat", f"{prelude}, {NAMES}, {ft.NAMED}", pool)
+            sims = ft.similarity_sql(lv, a, g.similarity_windows, "word", lv.label, lv.label, ("user_id", lv.id, "event_ts"), f"{lv.name}_cat", f"{prelude}, {names}, {ft.NAMED}", pool)
             s = family(f"sim_{a}", f"SELECT * EXCLUDE ({lv.id}), {lv.id} AS category_id FROM ({sims})")
             for n in g.similarity_windows:
                 for x in MEASURES:
@@ -106,6 +104,22 @@ def _matrix_sql(prelude: str, labelled: bool = True) -> str:
     return sql_rounded(f"{head} SELECT a.user_id, a.leaf_id, a.mid_id, a.top_id, a.event_ts, {', '.join(cols)} FROM anchors a {' '.join(joins)}", doubles)
 
 
+#: Features of several levels, families, actions and windows.
+NAMED = [
+    "f_num_views_from_leaf_cat_in_last_5_days", "f_num_purchases_from_mid_cat_in_last_14_days", "f_time_since_last_view_from_top_cat", "f_time_since_last_purchase_from_leaf_cat",
+    "f_norm_num_views_from_leaf_cat_in_last_7_days", "f_norm_num_purchases_from_top_cat_in_last_14_days", "f_user_vs_mean_view_from_mid_cat_in_last_7_days",
+    "f_weighted_num_views_from_leaf_cat", "f_weighted_num_purchases_from_mid_cat", "f_view_to_purchase_ratio_from_leaf_cat_in_last_14_days", "f_entropy_for_mid_cat_views",
+    similarity_name("mean", "leaf_cat", "view", "cosine", 14), similarity_name("p75", "mid_cat", "purchase", "jaccard", 7), similarity_name("max", "leaf_cat", "purchase", "cosine", 7),
+    gaps.since_names(LEAF)["views"], gaps.first_view_names(MID)["mean"], *list(gaps.between_fills(LEAF))[:2], act.amount_name("var", MID, 14), act.amount_name("max", LEAF, 7),
+]
+
+
+@query("feature_matrix_named", f"SELECT user_id, leaf_id, mid_id, top_id, event_ts, {', '.join(NAMED)} FROM ({_matrix_sql(WITH_REF, labelled=False)})")
+def _(t):
+    events, names = cut_lineage(t.actions()), cut_lineage(level_names(t.category_names()))
+    return feature_matrix(cut_lineage(ref_anchors(t)), events, MONTH_GRID, ref_date=REF, names=names, columns=NAMED)
+
+
 @query("feature_matrix", _matrix_sql(WITH_REF))
 def _(t):
     return flagship(t)

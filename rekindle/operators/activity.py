@@ -199,11 +199,11 @@ def reference_date_partials(events: DataFrame, spec: ActivitySpec, ref_date: str
     return _at_reference(events, spec, ref_date, ["user_id", *[lv.id for lv in LEVELS]])
 
 
-def roll_up(partials: DataFrame, level: Level) -> DataFrame:
-    """Leaf totals to totals of ``level``; ``ANY`` gives all three levels in one shuffle."""
+def roll_up(partials: DataFrame, level: Level, levels: Sequence[Level] = LEVELS) -> DataFrame:
+    """Leaf totals to totals of ``level``; ``ANY`` gives all of ``levels`` in one shuffle."""
     ids = {lv.id for lv in LEVELS}
     measures = [c for c in partials.columns if c != "user_id" and c not in ids]
-    rows = all_levels(partials) if level == ANY else partials.where(F.col(level.id).isNotNull())
+    rows = all_levels(partials, levels) if level == ANY else partials.where(F.col(level.id).isNotNull())
     return rows.groupBy("user_id", *level.keys).agg(*[_merge(c) for c in measures])
 
 
@@ -255,27 +255,28 @@ def level_activity(
     spec: ActivitySpec,
     ref_date: str | None = None,
     repeat_anchor_rows: bool = False,
+    levels: Sequence[Level] = LEVELS,
 ) -> DataFrame:
-    """Features keyed by (user, category, anchor_day).
+    """Features keyed by (user, category, anchor_day); for ``ANY`` of all ``levels``.
 
     ``repeat_anchor_rows`` counts an event once per anchor row that shares the category
     at this level, as a plain join of anchor rows with events does.
     """
     keys = ["user_id", *level.keys]
     days = (
-        (all_levels(anchors) if level == ANY else anchors.where(F.col(level.id).isNotNull()))
+        (all_levels(anchors, levels) if level == ANY else anchors.where(F.col(level.id).isNotNull()))
         .groupBy(*keys, anchor_day().alias("anchor_day"))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     repeat = "_rows" if repeat_anchor_rows else "1"
     if ref_date is not None:
-        totals = roll_up(reference_date_partials(events, spec, ref_date), level)
+        totals = roll_up(reference_date_partials(events, spec, ref_date), level, levels)
         joined = days.where(F.col("anchor_day") == F.lit(ref_date).cast("date")).join(totals, keys)
         return _finish(joined, spec, level, [*keys, "anchor_day"], repeat)
     if level == ANY:
         ids = [lv.id for lv in LEVELS]
         leaf_days = daily(events, spec, ["user_id", *ids])
-        per_day = all_levels(leaf_days)
+        per_day = all_levels(leaf_days, levels)
         measures = [c for c in per_day.columns if c not in (*keys, "event_day")]
         per_day = per_day.groupBy(*keys, "event_day").agg(*[_merge(c) for c in measures])
     else:

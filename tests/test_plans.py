@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frames import anchor, frames, random_history
 from rekindle.config import Config, EventLimits, Filters, Sampling
-from rekindle.levels import LEAF, LEVELS
+from rekindle.levels import ANY, LEAF, LEVELS, MID
 from rekindle.operators import activity as act
 from rekindle.operators import intervals
 from rekindle.operators.entropy import category_counts
@@ -59,6 +59,41 @@ def test_matrix_holds_the_registry_and_every_anchor(spark, ref):
     assert sorted(map(str, by_id.select(*cols).collect())) == sorted(map(str, matrix.select(*cols).collect()))
 
 
+def test_needs_are_closed_and_small():
+    names = [act.norm_name("view", LEAF, 7), act.weighted_name("purchase", MID), act.ratio_name("view", "purchase", LEAF, 30), act.recency_name("view", MID)]
+    needs = feat.Needs(feat.BASE_GRID, names)
+    assert needs.levels() == (LEAF, MID)
+    assert needs.spec() == act.ActivitySpec({"purchase": (2, 7, 30, 90, 180, 360), "view": (7, 30)}, ("view",), {})
+    assert needs.columns(MID) == [(act.weighted_name("purchase", ANY), names[1]), (act.recency_name("view", ANY), names[3])]
+    with pytest.raises(ValueError, match="f_unheard_of"):
+        feat.Needs(feat.BASE_GRID, ["f_unheard_of"])
+
+
+@pytest.mark.parametrize("ref", [None, "2024-01-20"])
+def test_named_columns_equal_those_of_the_matrix(spark, ref):
+    history = random_history(35, n=250)
+    starts = [anchor(u, c, "2024-01-20") for u, c in {(e[0], e[1]) for e in history}]
+    events, anchors = frames(spark, history, starts)
+    names = sorted(feat.registry(SMALL))
+    whole = {(r.user_id, r.leaf_id): r.asDict() for r in feat.feature_matrix(named(anchors), named(events), SMALL, ref).collect()}
+    for part in (names[::9], [n for n in names if "sim_in_last" in n][::11], [act.zscore_name("view", LEAF, 7)], [n for n in names if "between" in n][:1]):
+        out = feat.feature_matrix(named(anchors), named(events), SMALL, ref, columns=part)
+        assert [c for c in out.columns if c.startswith("f_")] and {c for c in out.columns if c.startswith("f_")} == set(part)
+        rows = {(r.user_id, r.leaf_id): r.asDict() for r in out.collect()}
+        assert rows.keys() == whole.keys()
+        for key, r in rows.items():
+            assert {c: r[c] for c in part} == pytest.approx({c: whole[key][c] for c in part}, nan_ok=True)
+
+
+def test_named_plan_holds_only_what_is_asked(spark, supplied):
+    names = [act.count_name("view", LEAF, n) for n in (1, 7)] + [act.norm_name("view", LEAF, 7)]
+    spark.conf.set("spark.sql.debug.maxToStringFields", "5000")
+    plan = plan_of(feat.feature_matrix(reference_anchors(supplied), supplied.actions(), feat.BASE_GRID, "2024-01-20", columns=names))
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "n_view_7" in plan and re.search(r"event_type#\d+ = view", plan)
+    assert not re.search(r"n_view_(2|5|14|30|60|90|180|360)\b|purchase_|last_view|_sim_|entropy|top_cat", plan)
+
+
 def test_shares_are_shares(spark):
     history = random_history(32)
     events, anchors = frames(spark, history, [anchor(e[0], e[1], e[5]) for e in history if e[4] == "click"])
