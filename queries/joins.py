@@ -14,7 +14,7 @@ from rekindle.operators import joins as jn
 from rekindle.operators.attributes import item_attributes
 from rekindle.operators.labels import label_reinterest
 from rekindle.operators.similarity import MEASURES, STATS, similarity_name
-from rekindle.plans.features import FeatureGrid, counts_only, feature_matrix, level_names
+from rekindle.plans.features import BASE_GRID, WATCH_GRID, FeatureGrid, counts_only, feature_matrix, level_names
 from rekindle.plans.training import prepare
 from rekindle.session import cut_lineage
 from rekindle.sources.supplied import Supplied
@@ -131,6 +131,48 @@ def _(t):
     return feature_matrix(click_anchors(t), events, MONTH_GRID, names=names)
 
 
+# ---- the full grids, on data of several years ------------------------------------------------------
+
+YEARS_REF = "1998-01-01"
+_LINES = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+YEARS = f"""WITH actions AS (SELECT ROW_NUMBER() OVER () AS event_id, o_custkey AS user_id, event_ts, event_type, l_extendedprice AS amount,
+    l_partkey AS item_id, l_partkey AS leaf_id, l_partkey // 10 AS mid_id, l_partkey // 50 AS top_id FROM (
+      SELECT *, 'purchase' AS event_type, o_orderdate AS event_ts {_LINES}
+      UNION ALL SELECT *, 'view', l_shipdate {_LINES}
+      UNION ALL SELECT *, 'watch', l_shipdate + to_days(l_linenumber) {_LINES} WHERE l_quantity > 25)),
+  anchors AS (SELECT DISTINCT user_id, leaf_id, mid_id, top_id, TIMESTAMP '{YEARS_REF}' AS event_ts FROM actions
+    WHERE event_type = 'purchase' AND event_ts >= TIMESTAMP '{YEARS_REF}' - INTERVAL 60 DAY AND event_ts < TIMESTAMP '{YEARS_REF}')"""
+
+
+def year_events(t: Supplied) -> DataFrame:
+    """Orders as purchases, shipments as views, and of large quantities a watch some days later."""
+    li, o = t.table("lineitem"), t.table("orders")
+    kinds = F.expr("""inline(filter(array(
+        named_struct('event_type', 'purchase', 'event_ts', o_orderdate), named_struct('event_type', 'view', 'event_ts', l_shipdate),
+        named_struct('event_type', 'watch', 'event_ts', l_shipdate + make_dt_interval(l_linenumber))), x -> x.event_type <> 'watch' OR l_quantity > 25))""")
+    key = F.col("l_partkey")
+    tree = [key.alias("item_id"), key.alias("leaf_id"), F.floor(key / 10).alias("mid_id"), F.floor(key / 50).alias("top_id")]
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("user_id"), F.col("l_extendedprice").alias("amount"), *tree, kinds)
+
+
+def _years_matrix(t: Supplied, grid: FeatureGrid) -> DataFrame:
+    events, names = cut_lineage(year_events(t)), cut_lineage(level_names(t.category_names()))
+    ref = F.lit(YEARS_REF).cast("timestamp")
+    bought = events.where((F.col("event_type") == "purchase") & (F.col("event_ts") < ref) & (F.col("event_ts") >= ref - F.expr("INTERVAL 60 DAY")))
+    anchors = bought.select("user_id", "leaf_id", "mid_id", "top_id").distinct().withColumn("event_ts", ref)
+    return feature_matrix(cut_lineage(anchors), events, grid, ref_date=YEARS_REF, names=names)
+
+
+@query("feature_matrix_base_grid", _matrix_sql(YEARS, labelled=False, g=BASE_GRID))
+def _(t):
+    return _years_matrix(t, BASE_GRID)
+
+
+@query("feature_matrix_watch_grid", _matrix_sql(YEARS, labelled=False, g=WATCH_GRID))
+def _(t):
+    return _years_matrix(t, WATCH_GRID)
+
+
 def _count_grid_sql() -> str:
     levels = ("leaf", "mid", "top")
     counts = ", ".join(
