@@ -15,12 +15,14 @@ from tokenizers import Encoding, Tokenizer
 from rekindle.llm.store import cut
 
 #: Characters that one chunk of a huge text adds to the one before, and how far it reaches into the next.
-STEP = 32_768
+STEP = 65_536
 OVERLAP = 512
 #: Factor by which chunks and overlaps grow where two chunks have no boundary in common.
 WIDER = 8
 #: Characters that go through the tokenizer at once, whatever the rows of a batch.
 BATCH_CHARS = 200_000
+#: Pieces of text whose token counts a task remembers.
+KNOWN = 500_000
 
 _CHUNKS = "key string, k int, is_last boolean, chunk string"
 _MARKS = "key string, k int, is_last boolean, n_tokens long, marks array<struct<seam:int,place:long,side:int,before:long>>"
@@ -41,9 +43,19 @@ def _lookahead(own: Tokenizer) -> int:
     return 4 + max((len(t.content) for t in own.get_added_tokens_decoder().values()), default=0)
 
 
-def counts(texts: list[str], path: str) -> list[int]:
-    """Tokens of each text."""
-    own, out, at = tokenizer(path), [], 0
+@lru_cache
+def breaks_at_space(path: str) -> bool:
+    """Whether ASCII white space is a boundary of the tokenizer at `path` wherever it stands: it leaves no token, and no special string holds or takes it."""
+    own = tokenizer(path)
+    for space in " \t\n\r\x0b\x0c":
+        for text in (space, f"a{space}b", f"a{space}{space}!", f"!{space}a{space}"):
+            if own.encode(text, add_special_tokens=False).tokens != [t for part in text.split(space) for t in own.encode(part, add_special_tokens=False).tokens]:
+                return False
+    return not any(t.lstrip or t.rstrip or t.normalized or len(t.content.split()) != 1 for t in own.get_added_tokens_decoder().values())
+
+
+def _encoded_lengths(texts: list[str], own: Tokenizer) -> list[int]:
+    out, at = [], 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
@@ -54,6 +66,32 @@ def counts(texts: list[str], path: str) -> list[int]:
     return out
 
 
+def counts(texts: list[str], path: str) -> list[int]:
+    """Tokens of each text.
+
+    Where white space is a boundary, each piece between it is encoded once, however often the texts have it; up to KNOWN pieces are remembered at
+    a time. Other tokenizers get each different text whole.
+    """
+    own = tokenizer(path)
+    if not breaks_at_space(path):
+        different = list(dict.fromkeys(texts))
+        by_text = dict(zip(different, _encoded_lengths(different, own)))
+        return [by_text[t] for t in texts]
+    known: dict[bytes, int] = {}
+    out, group, size = [], [], 0
+    for k, text in enumerate(texts):
+        group.append(text.encode().split())  # bytes: splits at ASCII white space only
+        size += len(text)
+        if size >= BATCH_CHARS or k == len(texts) - 1:
+            new = list(dict.fromkeys(p for pieces in group for p in pieces if p not in known))
+            known.update(zip(new, _encoded_lengths([p.decode() for p in new], own)))
+            out += [sum(map(known.__getitem__, pieces)) for pieces in group]
+            group, size = [], 0
+            if len(known) > KNOWN:
+                known.clear()
+    return out
+
+
 def chunks(text: str, step: int, overlap: int) -> list[str]:
     """Stretches of step + overlap characters that begin every `step`; the last one reaches the end."""
     n = max(1, -(-(len(text) - overlap) // step))
@@ -67,12 +105,19 @@ def stable_starts(encoding: Encoding, chunk: str, begin: int, end: int) -> list[
     that both start a word at one place go on alike. It is stable if normalisation can't reach across it either: an ASCII character or a
     unified ideograph there is never composed with what stands before it, and nothing is composed with white space.
     """
-    words, offsets, out = encoding.word_ids, encoding.offsets, []
-    for i, (at, _) in enumerate(offsets):
-        if begin <= at < end and (i == 0 or words[i] != words[i - 1] and offsets[i - 1][0] < at):  # a character can lower to two words
+    first = next((i for i in map(encoding.char_to_token, range(begin, end)) if i is not None), len(encoding))
+    out, before, word = [], -1, None
+    if first > 0:
+        before, word = encoding.token_to_chars(first - 1)[0], encoding.token_to_word(first - 1)
+    for i in range(first, len(encoding)):
+        at, own = encoding.token_to_chars(i)[0], encoding.token_to_word(i)
+        if at >= end:
+            break
+        if at >= begin and (i == 0 or own != word and before < at):  # a character can lower to two words
             c = chunk[at]
             if c < "\x80" or "㐀" <= c <= "鿿" or at and chunk[at - 1] in " \t\n\r\x0b\x0c":
                 out.append((at, i))
+        before, word = at, own
     return out
 
 

@@ -13,7 +13,7 @@ def whole(text):
 
 
 def mixed_text(rng, n):
-    parts = ["hello", "wörld", "it's", "we'll", "''re", "<|endoftext|>", "<|startoftext|>", "<|endof", "123", "中文，世界", "x́y", "́", "각", "Σας", "!!", "...", " ", "  ", "\n", "\t", " ", " ", " ", "İstanbul", "a" * 40, "\U0001f600"]
+    parts = ["hello", "wörld", "it's", "we'll", "''re", "<|endoftext|>", "<|startoftext|>", "<|endof", "123", "中文，世界", "x́y", "́", "각", "Σας", "!!", "...", " ", "  ", "\n", "\t", " ", " ", " ", "İstanbul", "a" * 40, "!!\x1c!!", "\x85", "<| endoftext|>", "\x0b", "\x0c", "\U0001f600"]
     return "".join(rng.choices(parts, k=n))
 
 
@@ -37,6 +37,17 @@ def test_production_chunks_and_a_very_long_text(spark):
     assert {r.doc_id: r.n_tokens for r in tokens.token_counts(df, PATH, 2048).collect()} == {i: whole(t) for i, t in enumerate(texts)}
 
 
+def test_pieces_are_encoded_once_and_forgotten(monkeypatch):
+    assert tokens.breaks_at_space(PATH) and not tokens.breaks_at_space(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    texts = [mixed_text(rng, rng.randint(0, 80)) for _ in range(300)] + ["", " ", "same words again"] * 3
+    monkeypatch.setattr(tokens, "BATCH_CHARS", 500)
+    monkeypatch.setattr(tokens, "KNOWN", 100)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        assert tokens.counts(texts, path) == [len(tokens.tokenizer(path).encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_chunks_cover_a_text_and_overlap():
     for n in range(0, 200, 7):
         text = "".join(chr(97 + k % 26) for k in range(n))
