@@ -5,17 +5,20 @@ from pyspark.sql import functions as F
 
 from queries import features as ft
 from queries.common import (
-    ACTIONS, AGE, CATEGORIES, CONFIG, ITEMS, ORDER_LINES, REF, WINDOWS, WITH_CLICKS, WITH_REF, NAMES, click_anchors, keyed_anchors, query, ref_anchors, sql_rounded,
+    ACTIONS, AGE, CATEGORIES, CONFIG, ITEMS, ORDER_LINES, REF, WINDOWS, WITH_CLICKS, WITH_REF, NAMES, click_anchors, keyed_anchors, query, ref_anchors,
+    sql_hash, sql_rounded, sql_unit,
 )
+from rekindle.config import OFFLINE_WEIGHTS, OFFLINE_WEIGHTS_ROUNDED, WEIGHT_WINDOWS
 from rekindle.levels import LEAF, MID
 from rekindle.operators import activity as act
 from rekindle.operators import intervals as gaps
 from rekindle.operators import joins as jn
+from rekindle.operators import metrics, model
 from rekindle.operators.attributes import item_attributes
 from rekindle.operators.labels import label_reinterest
 from rekindle.operators.similarity import MEASURES, STATS, similarity_name
 from rekindle.plans.features import BASE_GRID, WATCH_GRID, FeatureGrid, counts_only, feature_matrix, level_names
-from rekindle.plans.training import prepare
+from rekindle.plans.training import prepare, train_eval
 from rekindle.session import cut_lineage
 from rekindle.sources.supplied import Supplied
 
@@ -155,12 +158,12 @@ def year_events(t: Supplied) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("user_id"), F.col("l_extendedprice").alias("amount"), *tree, kinds)
 
 
-def _years_matrix(t: Supplied, grid: FeatureGrid) -> DataFrame:
+def _years_matrix(t: Supplied, grid: FeatureGrid, columns: list[str] | None = None) -> DataFrame:
     events, names = cut_lineage(year_events(t)), cut_lineage(level_names(t.category_names()))
     ref = F.lit(YEARS_REF).cast("timestamp")
     bought = events.where((F.col("event_type") == "purchase") & (F.col("event_ts") < ref) & (F.col("event_ts") >= ref - F.expr("INTERVAL 60 DAY")))
     anchors = bought.select("user_id", "leaf_id", "mid_id", "top_id").distinct().withColumn("event_ts", ref)
-    return feature_matrix(cut_lineage(anchors), events, grid, ref_date=YEARS_REF, names=names)
+    return feature_matrix(cut_lineage(anchors), events, grid, ref_date=YEARS_REF, names=names, columns=columns)
 
 
 @query("feature_matrix_base_grid", _matrix_sql(YEARS, labelled=False, g=BASE_GRID))
@@ -328,9 +331,7 @@ def _(t):
     return jn.merge_stats(side(F.col("p_size") <= 25), side(F.col("p_size") > 25), "feature", ["mean", "std"])
 
 
-@query(
-    "training_rows",
-    f"""{WITH_REF}, later AS (SELECT user_id, leaf_id FROM actions WHERE event_type = 'view' AND event_ts > TIMESTAMP '{REF}')
+TRAINING = f"""{WITH_REF}, later AS (SELECT user_id, leaf_id FROM actions WHERE event_type = 'view' AND event_ts > TIMESTAMP '{REF}')
       SELECT a.user_id, a.leaf_id, a.event_ts, COUNT(CASE WHEN e.event_type = 'purchase' AND {AGE} <= 14 THEN 1 END) AS f_num_purchases_from_leaf_cat_in_last_14_days,
         COUNT(CASE WHEN e.event_type = 'view' AND {AGE} <= 14 THEN 1 END) AS f_num_views_from_leaf_cat_in_last_14_days,
         CAST(COALESCE(MIN(CASE WHEN e.event_type = 'purchase' THEN {AGE} END), -1) AS INTEGER) AS f_time_since_last_purchase_from_leaf_cat,
@@ -338,10 +339,63 @@ def _(t):
         MAX(CASE WHEN (a.user_id, a.leaf_id) IN (SELECT (user_id, leaf_id) FROM later) THEN 1 ELSE 0 END) AS reinterest_label
       FROM anchors a JOIN actions e ON e.user_id = a.user_id AND e.leaf_id = a.leaf_id AND {AGE} >= 1
       WHERE a.user_id IN (SELECT user_id FROM later) GROUP BY a.user_id, a.leaf_id, a.event_ts
-      HAVING f_num_purchases_from_leaf_cat_in_last_14_days > 0""",
-)
-def _(t):
+      HAVING f_num_purchases_from_leaf_cat_in_last_14_days > 0"""
+
+
+def training_matrix(t: Supplied) -> DataFrame:
     matrix = feature_matrix(ref_anchors(t), t.actions(), counts_only((14,), ("purchase", "view"), (LEAF,)), ref_date=REF)
     return prepare(matrix, t.views(), CONFIG, labels=(), active_column="f_num_purchases_from_leaf_cat_in_last_14_days")
 
 
+@query("training_rows", TRAINING)
+def _(t):
+    return training_matrix(t)
+
+
+_UNIT = sql_unit("user_id", "leaf_id", "event_ts")
+
+
+@query(
+    "training_frames",
+    f"""WITH rows AS ({TRAINING}), parts AS (SELECT *, CASE WHEN {_UNIT} < 0.7 THEN 'train' WHEN {_UNIT} < 0.8 THEN 'validation' ELSE 'test' END AS part FROM rows),
+      ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY reinterest_label ORDER BY {sql_hash("user_id", "leaf_id", "event_ts", seed=123)}, user_id, leaf_id, event_ts) AS nth FROM parts WHERE part = 'train'),
+      least AS (SELECT LEAST(SUM(reinterest_label), COUNT(*) - SUM(reinterest_label)) AS n FROM parts WHERE part = 'train')
+      SELECT part, user_id, leaf_id, event_ts, reinterest_label FROM ranked, least WHERE nth <= n
+      UNION ALL SELECT part, user_id, leaf_id, event_ts, reinterest_label FROM parts WHERE part <> 'train'""",
+)
+def _(t):
+    frames = zip(("train", "validation", "test"), train_eval(cut_lineage(training_matrix(t))))
+    parts = [df.select(F.lit(part).alias("part"), "user_id", "leaf_id", "event_ts", "reinterest_label") for part, df in frames]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("end_to_end_segments")
+def _(t):
+    """Anchors to matrix, split, fit, score and segment metrics."""
+    train, _, test = train_eval(cut_lineage(training_matrix(t)))
+    features = [c for c in test.columns if c.startswith("f_")]
+    _, scored = model.train_and_score(train, test, features, "reinterest_label", model.TreeParams(trees=5, depth=3))
+    return metrics.segment_metrics(scored, "reinterest_label", "pred", min_views=(1, 2), windows=(14,))
+
+
+def _offline(weights, column: str, action: str) -> str:
+    return " + ".join(f"{w}::DOUBLE * f_num_{action}s_from_in_last_{n}_days" for n, w in zip(WEIGHT_WINDOWS, weights)) + f" AS {column}"
+
+
+@query(
+    "g16_weighted_count_reference_weights",
+    sql_rounded(
+        f"""{YEARS} SELECT user_id, category_id AS mid_id, event_ts, {_offline(OFFLINE_WEIGHTS, "f_views", "view")}, {_offline(OFFLINE_WEIGHTS_ROUNDED, "f_views_rounded", "view")},
+          {_offline(OFFLINE_WEIGHTS, "f_purchases", "purchase")}, {_offline(OFFLINE_WEIGHTS_ROUNDED, "f_purchases_rounded", "purchase")}
+          FROM ({ft._counts_sql(WEIGHT_WINDOWS).replace("{L}", "mid").replace("{K}", keyed_anchors("mid"))})""",
+        ["f_views", "f_views_rounded", "f_purchases", "f_purchases_rounded"],
+    ),
+)
+def _(t):
+    """Both weight vectors over all their windows, on counts of a year."""
+    counted = _years_matrix(t, BASE_GRID, [act.count_name(a, MID, n) for a in ("view", "purchase") for n in WEIGHT_WINDOWS])
+    weighted = [
+        act.weighted_count_offline(counted, MID, a, WEIGHT_WINDOWS, w).alias(f"f_{a}s{suffix}")
+        for a in ("view", "purchase") for w, suffix in ((OFFLINE_WEIGHTS, ""), (OFFLINE_WEIGHTS_ROUNDED, "_rounded"))
+    ]
+    return counted.select("user_id", "mid_id", "event_ts", *weighted).distinct()

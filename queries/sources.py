@@ -25,8 +25,7 @@ def _(t):
 @query("a2_save_table", "SELECT o_custkey, COUNT(*) AS n_orders, ROUND(SUM(o_totalprice), 2) + 0.0 AS spent FROM orders GROUP BY o_custkey")
 def _(t):
     totals = t.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
-    path = shared_folder(t.spark)
-    return catalog.save_table(totals, "customer_totals_" + path[-32:], path=path)
+    return catalog.save_table(totals, "customer_totals")
 
 
 @query("a3_parquet_sink", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders")
@@ -53,14 +52,16 @@ def _(t):
     f"""{WITH_REF}, {ITEMS}, picked AS (
       SELECT user_id, leaf_id FROM anchors WHERE {sql_unit('user_id', 'leaf_id')} < 0.3
       ORDER BY {sql_hash('user_id', 'leaf_id')}, user_id, leaf_id LIMIT 300)
-      SELECT e.event_id, e.user_id, e.item_id, e.event_type, i.image_url FROM actions e JOIN items i USING (item_id)
-      WHERE e.user_id IN (SELECT user_id FROM picked)""",
+      SELECT 'event' AS part, e.event_id, e.user_id, NULL AS leaf_id, e.item_id, e.event_type, i.image_url FROM actions e JOIN items i USING (item_id)
+      WHERE e.user_id IN (SELECT user_id FROM picked)
+      UNION ALL SELECT 'row', NULL, user_id, leaf_id, NULL, NULL, NULL FROM picked""",
 )
 def _(t):
     events = t.actions().select("event_id", "user_id", "item_id", "event_type")
     rows = ref_anchors(t).select("user_id", "leaf_id")
-    _, mine = catalog.demo_extract(rows, events, t.items(), 0.3, 300, ["user_id", "leaf_id"])
-    return catalog.write_csv(mine.select("event_id", "user_id", "item_id", "event_type", "image_url"), shared_folder(t.spark))
+    picked, mine = catalog.demo_extract(rows, events, t.items(), 0.3, 300, ["user_id", "leaf_id"])
+    both = mine.withColumn("part", F.lit("event")).unionByName(picked.withColumn("part", F.lit("row")), allowMissingColumns=True)
+    return catalog.write_csv(both.select("part", "event_id", "user_id", "leaf_id", "item_id", "event_type", "image_url"), shared_folder(t.spark))
 
 
 @query(

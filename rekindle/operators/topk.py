@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rekindle.functions.hashing import HASH_BITS, salt, stable_hash
+from rekindle.session import cut_lineage
 
-USER_SALTS = 16
-MANY_SALTS = 256
+#: Tasks that share the rows of one key.
+SALTS = 32
 
 
 def history_limit(per_action: int | None, overall: int | None, parity: bool = False) -> int | None:
@@ -32,12 +33,6 @@ def _order(df: DataFrame, key: str, ts: str, tie: Sequence[str]) -> tuple[list[s
     return tie, [F.col(ts).desc()] + [F.col(c).desc() for c in tie]
 
 
-def _salts(df: DataFrame, k: int) -> int:
-    """More salts where k is too large for Spark to cut rows before the shuffle."""
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    return USER_SALTS if k <= limit else MANY_SALTS
-
-
 def recent_topk(df: DataFrame, k: int | None, key: str = "user_id", ts: str = "event_ts", tie: Sequence[str] = ()) -> DataFrame:
     """The k latest rows per key.
 
@@ -47,7 +42,7 @@ def recent_topk(df: DataFrame, k: int | None, key: str = "user_id", ts: str = "e
     if k is None:
         return df
     tie, order = _order(df, key, ts, tie)
-    salted = df.withColumn("_salt", salt(_salts(df, k), ts, *tie))
+    salted = df.withColumn("_salt", salt(SALTS, ts, *tie))
     return _latest(_latest(salted, [key, "_salt"], k, order).drop("_salt"), [key], k, order)
 
 
@@ -67,9 +62,8 @@ def cohort_recent_topk(
     if k is None:
         return events.join(cohort, "user_id", "left_semi")
     tie, order = _order(events, "user_id", ts, tie)
-    salts = _salts(events, k)
-    first = _latest(events.withColumn("_salt", salt(salts, ts, *tie)), ["user_id", "_salt"], k, order)
-    salted = cohort.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    first = _latest(events.withColumn("_salt", salt(SALTS, ts, *tie)), ["user_id", "_salt"], k, order)
+    salted = cohort.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kept = first.join(salted, ["user_id", "_salt"], "left_semi").drop("_salt")
     return _latest(kept, ["user_id"], k, order)
 
@@ -100,14 +94,15 @@ def take_by_hash(
 ) -> DataFrame:
     """Exactly ``limit`` rows (per ``within`` group), the ones with the smallest key hash.
 
-    ``keys`` must identify a row. Hash buckets are counted first; buckets that lie whole under
-    the limit pass by a join with these counts, and only the bucket at the limit is moved and
-    ranked, so no task sees a whole group. ``limit`` may be a frame (``within`` columns, ``_limit``).
+    ``keys`` must identify a row. The rows are stored once with their hash, so the input is evaluated
+    once. Hash buckets are counted; those that lie whole under the limit pass by a join with
+    these counts, and only the bucket at the limit is moved and ranked, so no task sees a whole
+    group. ``limit`` may be a frame (``within`` columns, ``_limit``).
     """
     within = list(within)
     h = stable_hash(*keys, seed=seed)
     tagged = df.withColumn("_h", h)
-    tagged = tagged.withColumn("_b", F.shiftright("_h", HASH_BITS - buckets.bit_length() + 1).cast("int"))
+    tagged = cut_lineage(tagged.withColumn("_b", F.shiftright("_h", HASH_BITS - buckets.bit_length() + 1).cast("int")))
     sizes = tagged.groupBy(*within, "_b").agg(F.count(F.lit(1)).alias("_n"))
     # at most `buckets` rows per group
     order = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_b")

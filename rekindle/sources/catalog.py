@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rekindle.functions.hashing import stable_unit
@@ -21,15 +24,43 @@ def catalog_scan(
     return df.select(*columns) if columns else df
 
 
-def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
-    """Replace a catalog table by the frame and return the stored table."""
-    writer = df.write.mode("overwrite").format("parquet")
-    if path:
-        writer = writer.option("path", path)
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """The stored versions of a published table, oldest first."""
+    database, _, plain = name.rpartition(".")
+    tables = spark.catalog.listTables(database or None, f"{plain}__v*")
+    return sorted(f"{database}.{t.name}" if database else t.name for t in tables if re.fullmatch(rf"{re.escape(plain.lower())}__v\d{{8}}_[0-9a-f]{{8}}", t.name))
+
+
+def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), keep: int = 2) -> DataFrame:
+    """Publish the frame as the table ``name`` and return it.
+
+    Rows go to a table of their own, a new version. Only when the stored rows are as many as were
+    written does ``name``, a view, move on to it, in one step of the catalog. A write that
+    fails or falls short leaves the earlier version in place. Readers that began on an
+    older version keep it: the ``keep`` newest are there, the others go.
+    """
+    if keep < 1:
+        raise ValueError("the published version has to be kept")
+    spark = df.sparkSession
+    earlier = _versions(spark, name)
+    number = int(earlier[-1].rsplit("__v", 1)[1][:8]) + 1 if earlier else 1
+    version = f"{name}__v{number:08d}_{uuid.uuid4().hex[:8]}"
+    written = Observation()
+    writer = df.observe(written, F.count(F.lit(1)).alias("rows")).write.format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
-    return df.sparkSession.table(name)
+    try:
+        writer.saveAsTable(version)
+        stored = spark.table(version).count()
+        if stored != written.get["rows"]:
+            raise RuntimeError(f"{version} holds {stored} rows of {written.get['rows']}")
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {version}")
+        raise
+    for old in _versions(spark, name)[:-keep]:
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+    return spark.table(name)
 
 
 def write_parquet(df: DataFrame, path: str, max_records_per_file: int | None = None) -> DataFrame:
@@ -41,13 +72,43 @@ def write_parquet(df: DataFrame, path: str, max_records_per_file: int | None = N
     return df.sparkSession.read.parquet(path)
 
 
-def save_matrix(df: DataFrame, path: str) -> DataFrame:
-    """Store a feature matrix; :func:`load_matrix` reads it back with only the columns used."""
-    return write_parquet(df, path)
+MANIFEST = "number bigint, folder string, rows bigint"
+
 
+def _manifest(spark: SparkSession, path: str) -> list:
+    """What has been published under ``path``, oldest first."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{path}/published").orderBy("number", "folder").collect()  # a row per version
+    except AnalysisException:  # nothing yet
+        return []
 
-def load_matrix(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+
+def save_matrix(df: DataFrame, path: str) -> DataFrame:
+    """Store a feature matrix as a new version under ``path``; :func:`load_matrix` reads the latest.
+
+    The version has a folder of its own. When its rows are counted, one line is added to the list of
+    published versions, a single small file that appears at once; so readers see the old matrix or
+    the new one, and a failed write none of it.
+    """
+    spark = df.sparkSession
+    earlier = _manifest(spark, path)
+    number = earlier[-1].number + 1 if earlier else 1
+    folder = f"v{number:08d}_{uuid.uuid4().hex[:8]}"
+    written = Observation()
+    stored = write_parquet(df.observe(written, F.count(F.lit(1)).alias("rows")), f"{path}/{folder}")
+    rows = stored.count()
+    if rows != written.get["rows"]:
+        raise RuntimeError(f"{folder} holds {rows} rows of {written.get['rows']}")
+    spark.createDataFrame([(number, folder, rows)], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/published")
+    return stored
+
+
+def load_matrix(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The latest published matrix under ``path``, or the one of that number."""
+    published = [v for v in _manifest(spark, path) if version in (None, v.number)]
+    if not published:
+        raise ValueError(f"no such matrix under {path}")
+    return spark.read.parquet(f"{path}/{published[-1].folder}")
 
 
 def write_csv(df: DataFrame, path: str) -> DataFrame:
