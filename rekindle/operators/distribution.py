@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rekindle.session import cut_lineage
 
 #: Distinct values that one task sorts at most.
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 1_000_000
 
 
 def unpivot_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
