@@ -93,14 +93,28 @@ AMOUNTS = ", ".join(
 )
 
 
-@query("g3_amount_stats", levels_sql(f"{HEAD}, {AMOUNTS} FROM {JOINED} {TAIL}", WITH_REF, AMOUNT_DOUBLES))
+#: Variances of cents can end in a five at the seventh place; a nudge keeps the sixth from hanging on the last bit.
+NUDGE = 2e-7
+VARS = [c for c in AMOUNT_DOUBLES if c.startswith("f_var_")]
+
+
+def off_ties(df):
+    return df.withColumns({c: F.col(c) + NUDGE for c in VARS})
+
+
+def off_ties_sql(prelude: str) -> str:
+    moved = ", ".join(f"{c} + {NUDGE}::DOUBLE AS {c}" for c in VARS)
+    return sql_rounded(f"SELECT * REPLACE ({moved}) FROM ({levels_sql(f'{HEAD}, {AMOUNTS} FROM {JOINED} {TAIL}', prelude)})", AMOUNT_DOUBLES)
+
+
+@query("g3_amount_stats", off_ties_sql(WITH_REF))
 def _(t):
-    return per_level(lambda lv: act.amount_stats(ref_anchors(t), t.actions(), lv, "purchase", (7, 14), ref_date=REF))
+    return off_ties(per_level(lambda lv: act.amount_stats(ref_anchors(t), t.actions(), lv, "purchase", (7, 14), ref_date=REF)))
 
 
-@query("g3_amount_stats_many_days", levels_sql(f"{HEAD}, {AMOUNTS} FROM {JOINED} {TAIL}", WITH_CLICKS, AMOUNT_DOUBLES))
+@query("g3_amount_stats_many_days", off_ties_sql(WITH_CLICKS))
 def _(t):
-    return per_level(lambda lv: act.amount_stats(click_anchors(t), t.actions(), lv, "purchase", (7, 14)))
+    return off_ties(per_level(lambda lv: act.amount_stats(click_anchors(t), t.actions(), lv, "purchase", (7, 14))))
 
 
 def totals_sql(windows) -> str:
