@@ -270,7 +270,10 @@ def level_activity(
     )
     repeat = "_rows" if repeat_anchor_rows else "1"
     if ref_date is not None:
-        totals = roll_up(reference_date_partials(events, spec, ref_date), level, levels)
+        if level == ANY:
+            totals = roll_up(reference_date_partials(events, spec, ref_date), level, levels)
+        else:  # one level alone needs no leaf totals
+            totals = _at_reference(events.where(F.col(level.id).isNotNull()), spec, ref_date, keys)
         joined = days.where(F.col("anchor_day") == F.lit(ref_date).cast("date")).join(totals, keys)
         return _finish(joined, spec, level, [*keys, "anchor_day"], repeat)
     if level == ANY:
