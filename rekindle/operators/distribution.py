@@ -119,6 +119,7 @@ def histogram(
 
     Bin edges span min to max of ``edges_by`` (default: each group's own range); the last
     bin includes its upper edge. A group whose values are all equal spans value ± 0.5.
+    Every task gets the spans, one row per group: groups are features and labels, not users.
     """
     by = list(by)
     edges_by = by if edges_by is None else list(edges_by)
@@ -130,12 +131,12 @@ def histogram(
         F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("lo"),
         F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("hi"),
     )
-    # distinct values first: far fewer rows than the matrix, and no hot group in one task
-    counts = value_counts(kept, by, value).join(span, edges_by)
+    # the spans go to the rows, so no group meets in one task; map tasks count their own rows by bin, and only bins move
+    placed = kept.join(F.broadcast(span), edges_by)
     width = (F.col("hi") - F.col("lo")) / bins
     position = F.floor((F.col(value) - F.col("lo")) / width)
-    binned = counts.withColumn("bin", F.least(F.greatest(position, F.lit(0)), F.lit(bins - 1)).cast("int"))
-    grouped = binned.groupBy(*by, "lo", "hi", "bin").agg(F.sum("n").alias("n"))
+    binned = placed.withColumn("bin", F.least(F.greatest(position, F.lit(0)), F.lit(bins - 1)).cast("int"))
+    grouped = binned.groupBy(*by, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by))
     return grouped.withColumn("density", F.col("n") / (total * width))
 

@@ -1,3 +1,7 @@
+import contextlib
+import io
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +126,13 @@ def test_replay_with_nothing_eligible(spark):
     df = spark.createDataFrame([(1, 1, 1, 5.0)], "pred int, clicked int, n int, amount_7d double").withColumn("apply_filter", F.lit(0))
     r = replay_lift(df).first()
     assert r.total_items == 1 and r.eligible_items == 0 and r.ctr is None and r.click_lift_pct is None
+
+
+def test_divergence_moves_bins_and_not_values(spark):
+    """Values are binned where they are read: no exchange deals rows out by value."""
+    df = spark.createDataFrame([("x", i % 2, float(i)) for i in range(100)], "feature string, label int, value double")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        dist.divergence(df, "label").explain()
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", out.getvalue())
+    assert keys and not any("value#" in k for k in keys)
