@@ -7,14 +7,17 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from frames import anchor, frames, random_history
+from frames import anchor, event, frames, random_history
 from rekindle.config import Config, EventLimits, Filters, Sampling
 from rekindle.levels import ANY, LEAF, LEVELS, MID
 from rekindle.operators import activity as act
 from rekindle.operators import intervals
 from rekindle.operators.entropy import category_counts
+from rekindle.operators.joins import attach
+from rekindle.operators.similarity import category_similarity
 from rekindle.plans import features as feat
 from rekindle.plans.histories import Tables, user_timeline
+from rekindle.session import cut_lineage
 from rekindle.sources.supplied import Supplied
 
 SMALL = feat.FeatureGrid(
@@ -159,3 +162,27 @@ def test_unbounded_nesting_is_refused(spark):
     config = Config(Filters("2024-01-01", "2024-01-31"), Sampling("2024-01-20"), EventLimits(max_views=None, max_events=None))
     with pytest.raises(ValueError):
         user_timeline(Tables(), config)
+
+
+def test_stored_features_are_not_broadcast(spark):
+    """A stored frame of equal values is a small file; its size in memory grows with the users."""
+    history = random_history(41, n=60)
+    _, anchors = frames(spark, history, [anchor(e[0], e[1], "2024-01-20") for e in history])
+    stored = cut_lineage(anchors.select("user_id", "leaf_id", F.to_date("event_ts").alias("anchor_day"), F.lit(-1.0).alias("f_x")).distinct())
+    assert "Broadcast" not in plan_of(attach(cut_lineage(anchors), stored, LEAF, {}))
+
+
+def test_families_by_category_read_the_anchors_own_events(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(feat, "moments", lambda bought, viewed, level, whole=feat.moments: read.extend((bought, viewed)) or whole(bought, viewed, level))
+    history = [event(u, c, k, f"2024-01-0{d}") for u in (1, 2) for c in (3, 70) for k in ("purchase", "view") for d in (1, 2)]
+    events, anchors = frames(spark, history, [anchor(1, 3, "2024-01-20")])
+    assert feat.feature_matrix(named(anchors), named(events), SMALL, "2024-01-20").count() == 1
+    assert {(r.user_id, r.level, r.any_id) for df in read for r in df.collect()} == {(1, "leaf", 3), (1, "mid", 0), (1, "top", 0)}
+
+
+def test_similarity_percentiles_come_from_ranks(spark):
+    history = random_history(43, n=60)
+    events, anchors = frames(spark, history, [anchor(e[0], e[1], "2024-01-20") for e in history])
+    plan = plan_of(category_similarity(named(anchors), named(events), LEAF, "view", [7, 14]))
+    assert "percentile" not in plan and "Window" in plan
