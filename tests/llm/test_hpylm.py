@@ -100,3 +100,58 @@ def test_empty(spark):
     assert hpylm.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only_held = spark.createDataFrame([(i, "a b") for i in range(100) if hpylm.held_out(i)], "doc_id long, text string")
     assert {(r.n_known, r.train_tokens) for r in hpylm.scores(only_held).collect()} == {(0, 0)}
+
+
+def clashing_words():
+    """Two words whose hashes agree modulo 4,096."""
+    import xxhash
+
+    seen = {}
+    for k in range(10_000):
+        if (other := seen.setdefault(xxhash.xxh64_intdigest(f"c{k}") % 4096, f"c{k}")) != f"c{k}":
+            return other, f"c{k}"
+
+
+def test_every_context_has_a_restaurant_of_its_own(spark):
+    one, two = clashing_words()
+    learned = [i for i in range(2000) if not hpylm.held_out(i)]
+    held = [i for i in range(2000) if hpylm.held_out(i)][:4]
+    texts = [(i, f"{one} xx" if n % 2 else f"{two} yy") for n, i in enumerate(learned)]
+    asked = [f"{one} xx", f"{one} yy", f"{two} yy", f"{two} xx"]
+    got = {r.doc_id: r.score for r in hpylm.scores(spark.createDataFrame([*texts, *zip(held, asked)], "doc_id long, text string")).collect()}
+    right, wrong, right_too, wrong_too = (got[i] for i in held)
+    assert right > wrong + 1 and right_too > wrong_too + 1
+
+
+def test_totals_meet_those_of_all_pairs(spark):
+    """What blocks know of their contexts and words after a round is what a plain count over all of them gives."""
+    import pyarrow as pa
+
+    side, text = 3, " ".join(f"w{k * k % 37} w{k % 11}" for k in range(500))
+    docs = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), pa.array([text, None, "w1 w1 new", text[::-1]])], names=["doc_id", "text"])
+    sent = pa.Table.from_batches([*hpylm._send_pairs(side)(iter([docs]))])
+    blocks = [hpylm._open_block([pa.scalar(b)], sent.filter(pa.compute.equal(sent.column("block"), b))).to_pylist()[0] for b in sorted(set(sent.column("block").to_pylist()))]
+    parts = pa.Table.from_pylist([p for b in blocks for p in hpylm._parts(hpylm._Block(b), side)], schema=hpylm._filled(hpylm.PARTS, []).schema)
+    replies = [r for o in sorted(set(parts.column("owner").to_pylist())) for r in hpylm._first_total(side)([pa.scalar(o)], parts.filter(pa.compute.equal(parts.column("owner"), o))).to_pylist() if r["block"] is not None]
+    follow, heads, tails = Counter(), Counter(), Counter()
+    for i, t in enumerate(docs.column("text").to_pylist()):
+        if not hpylm.held_out(i):
+            words = [b"\n", *hpylm.tokens(t)]
+            follow.update(zip(words, words[1:]))
+    for (u, w), c in follow.items():
+        heads[hash_(u)] += c
+        tails[hash_(w)] += c
+    for b in blocks:
+        block = hpylm._Block(b)
+        around = hpylm._Around(block, [r for r in replies if r["block"] == b["block"]], side)
+        assert around.customers.tolist() == [heads[u] for u in block.names.tolist()] and around.word_customers.tolist() == [tails[w] for w in block.words.tolist()]
+        assert around.by_word[-1].tolist() == [sum(hash_(w) == x for _, w in follow) for x in block.words.tolist()]
+    assert sum(int(hpylm._Block(b).counts.sum()) for b in blocks) == sum(follow.values())
+
+
+def hash_(word):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word)
+
+
