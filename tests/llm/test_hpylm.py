@@ -155,3 +155,21 @@ def hash_(word):
     return xxhash.xxh64_intdigest(word)
 
 
+def test_a_frequent_context_or_word_is_dealt_to_many_blocks(spark):
+    import pyarrow as pa
+
+    side, words = 8, [f"v{k}" for k in range(4000)]
+    docs = pa.RecordBatch.from_arrays([pa.array([0, 2]), pa.array([" ".join(f"the {w}" for w in words), " ".join(f"{w} of" for w in words)])], names=["doc_id", "text"])
+    pairs = {b: len(n) // 4 for batch in hpylm._send_pairs(side)(iter([docs])) for b, n in zip(*(batch.column(c).to_pylist() for c in ("block", "counts")))}
+    assert max(pairs.values()) < sum(pairs.values()) / side  # either stands in one line of eight blocks
+
+
+def test_blocks_are_small_and_shuffles_are_freed(spark):
+    from rekindle.llm.store import freed_shuffles
+
+    assert hpylm.grid_side(0) == 1 and all(hpylm.grid_side(n) ** 2 >= 2 * hpylm.shard_count(n) for n in (10**9, 10**10, 10**11))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with freed_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
