@@ -165,7 +165,7 @@ def test_a_frequent_context_or_word_is_dealt_to_many_blocks(spark):
 
 
 def test_blocks_are_small_and_shuffles_are_freed(spark):
-    from rekindle.llm.store import freed_shuffles
+    from rekindle.session import freed_shuffles
 
     assert hpylm.grid_side(0) == 1 and all(hpylm.grid_side(n) ** 2 >= 2 * hpylm.shard_count(n) for n in (10**9, 10**10, 10**11))
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
