@@ -186,3 +186,33 @@ def test_similarity_percentiles_come_from_ranks(spark):
     events, anchors = frames(spark, history, [anchor(e[0], e[1], "2024-01-20") for e in history])
     plan = plan_of(category_similarity(named(anchors), named(events), LEAF, "view", [7, 14]))
     assert "percentile" not in plan and "Window" in plan
+
+
+def test_wide_rows_are_grouped_as_one_value(spark):
+    events, anchors = frames(spark, random_history(3), [anchor(u, leaf, "2024-01-20 00:00:00") for u in (1, 2) for leaf in (3, 5)])
+    plan = feat.feature_matrix(named(anchors), named(events), SMALL, ref_date="2024-01-20")._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(line for line in plan.splitlines() if "Aggregate [_of_user_id" in line)
+    assert re.findall(r"THEN (\w+)#", grouped) == ["_features"] * 3
+
+
+def test_rounding_of_whole_and_odd_numbers(spark):
+    import math
+
+    from queries.common import rounded
+
+    values = [None, 0.0, -0.0, -1.0, 7.0, 1e300, -1e22, math.inf, -math.inf, math.nan, 0.1234565, -0.1234565, 2.0000004, 1 / 3, 5e-7, -4e-7]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = df.select((F.round("x", 6) + F.lit(0.0)).alias("x")).collect()
+    assert list(map(repr, rounded(df).collect())) == list(map(repr, want))
+
+
+def test_year_events_come_from_lines_stored_once(spark):
+    from queries.joins import year_events
+
+    lines = spark.createDataFrame([(1, 10.0, 57, "1997-12-01", "1997-12-05", 2, 30.0), (2, 5.0, 8, "1997-11-01", None, 1, 25.0)], "o_custkey long, l_extendedprice double, l_partkey long, d string, s string, l_linenumber int, l_quantity double")
+    lines = lines.select("o_custkey", "l_extendedprice", "l_partkey", F.to_timestamp("d").alias("o_orderdate"), F.to_timestamp("s").alias("l_shipdate"), "l_linenumber", "l_quantity")
+    got = sorted((r.user_id, r.event_type, str(r.event_ts), r.leaf_id, r.mid_id, r.top_id, r.amount) for r in year_events(lines).collect())
+    assert got == [
+        (1, "purchase", "1997-12-01 00:00:00", 57, 5, 1, 10.0), (1, "view", "1997-12-05 00:00:00", 57, 5, 1, 10.0), (1, "watch", "1997-12-07 00:00:00", 57, 5, 1, 10.0),
+        (2, "purchase", "1997-11-01 00:00:00", 8, 0, 0, 5.0), (2, "view", "None", 8, 0, 0, 5.0),
+    ]
